@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import chosen_path, decontamination
+from corvane.llm import chosen_path, decontamination, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_decontaminate": decontamination.op2_decontaminate,
         "op10_minhash_chosen_path": chosen_path.op10_minhash_chosen_path,
     }
