@@ -1,6 +1,7 @@
 """MinHash near-dedup by chosen-path set similarity join.
 
-A text is the set of its `shingle`-word shingles, sketched by 64 minwise values.
+A text is the set of its `shingle`-word shingles, sketched by 64 minwise values
+and the last bytes of 128 more.
 Several independent trees branch the documents: a node of a tree picks `branches`
 coordinates, and a document goes on to the child named by its own minwise value
 at each. Nodes of at most `leaf` documents are compared exhaustively; larger ones
@@ -41,10 +42,11 @@ from pyspark.sql import functions as F
 from corvane.llm.common import pieces, release, spare, stage
 from corvane.llm.textkernel import Scan, doc_shingles, mix
 
-COORDS = 64
-LEVELS = 5
-_ROOT, _BLOCK = 24, 10  # coordinates that the root picks from, and each further level
-_MULT = (mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
+COORDS, BYTES = 64, 128  # minwise values kept whole, for branching, and as their last byte, to estimate similarity
+LEVELS = 9
+_ROOT, _BLOCK = 24, 5  # coordinates that the root picks from, and each further level
+_MULT = (mix(np.arange(1, COORDS + BYTES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
+_WIDTH = COORDS + BYTES // 4  # 32-bit columns of a sketch
 
 
 def survival(j: float, branches: int, depth: int) -> float:
@@ -72,15 +74,20 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
         if not len(have):
             continue
         begin = np.searchsorted(doc, have)
-        sig = np.empty((len(have), COORDS), np.uint32)
-        for k in range(COORDS):
-            sig[:, k] = np.minimum.reduceat(((h * _MULT[k]) >> np.uint64(32)).astype(np.uint32), begin)
+        sig = np.empty((len(have), _WIDTH), np.uint32)
+        tail = sig[:, COORDS:].view(np.uint8)
+        for k in range(COORDS + BYTES):
+            least = np.minimum.reduceat(((h * _MULT[k]) >> np.uint64(32)).astype(np.uint32), begin)
+            if k < COORDS:
+                sig[:, k] = least
+            else:
+                tail[:, k - COORDS] = least & np.uint32(255)
         place = (np.arange(len(words)) - scan.first[scan.doc]).astype(np.uint64)
         first = scan.first[have]
         a = np.add.reduceat(mix(words + place * np.uint64(0x9E3779B97F4A7C15)), first)
         b = np.add.reduceat(mix(words ^ mix(place + np.uint64(77))), first)
         flat = pa.array(sig.view(np.int32).reshape(-1))
-        offsets = pa.array(np.arange(0, len(flat) + 1, COORDS, dtype=np.int32))
+        offsets = pa.array(np.arange(0, len(flat) + 1, _WIDTH, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(have)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
             names=["id", "h1", "h2", "sig"],
@@ -110,6 +117,12 @@ def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure
     node of copies takes one round.
     """
 
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Estimated similarity; one byte in 256 agrees by chance."""
+        whole = (x[..., :COORDS] == y[..., :COORDS]).sum(-1)
+        last = (x[..., COORDS:].view(np.uint8) == y[..., COORDS:].view(np.uint8)).sum(-1)
+        return (whole + (last * 256 - BYTES) / 255) / (COORDS + BYTES)
+
     def pairs(node: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         cut = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         size = np.diff(np.append(cut, len(node)))
@@ -121,7 +134,7 @@ def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure
             if not len(live):
                 break
             for at in np.array_split(live, len(live) // 65536 + 1):
-                sim = (sig[at] == sig[at + k]).mean(1)
+                sim = alike(sig[at], sig[at + k])
                 ok = sim >= low
                 yield ids[at[ok]], ids[at[ok] + k], sim[ok]
         for c, s in zip(cut[size > leaf], size[size > leaf], strict=True):
@@ -130,7 +143,7 @@ def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure
                 reach, todo = [todo[0]], todo[1:]
                 while reach and len(todo):
                     x = reach.pop()
-                    sim = np.concatenate([(sig[t] == sig[x]).mean(1) for t in np.array_split(todo, len(todo) // 65536 + 1)])
+                    sim = np.concatenate([alike(sig[t], sig[x]) for t in np.array_split(todo, len(todo) // 65536 + 1)])
                     ok = sim >= low
                     yield np.full(ok.sum(), ids[x]), ids[todo[ok]], sim[ok]
                     reach += todo[sim >= sure].tolist()
@@ -146,7 +159,7 @@ def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure
         if not batch.num_rows:
             continue
         node, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        sig = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(node), COORDS)
+        sig = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(node), _WIDTH)
         if node[0] != node[-1] or (held and held[-1][0][-1] != node[0]):  # a node ends in this batch
             end = 0 if node[0] == node[-1] else int(np.flatnonzero(node != node[-1])[-1]) + 1
             held.append((node[:end], ids[:end], sig[:end]))
@@ -211,7 +224,7 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_groups(
-    docs: DataFrame, *, threshold: float = 0.5, shingle: int = 3, branches: int = 3, recall: float = 0.99, leaf: int = 64, id_col: str = "doc_id", text: str = "text",
+    docs: DataFrame, *, threshold: float = 0.5, shingle: int = 3, branches: int = 3, recall: float = 0.99, leaf: int = 128, id_col: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(doc_id, group_id) of every document in a group of two or more; group_id is the group's smallest doc_id."""
     spark = docs.sparkSession
@@ -223,15 +236,15 @@ def near_groups(
     reps, p_reps = stage(sketched.join(copies.select("id"), "id", "left_anti").groupBy("id").agg(F.min_by("sig", F.struct("h1", "h2")).alias("sig")), "reps")
     release(spark, p_sketch)
 
-    low = threshold - 3 * (threshold * (1 - threshold) / COORDS) ** 0.5
-    sure = threshold + 3 * (threshold * (1 - threshold) / COORDS) ** 0.5
+    margin = 3 * (threshold * (1 - threshold) / (COORDS + BYTES)) ** 0.5
+    low, sure = threshold - margin, threshold + margin
     trees = trees_for(threshold, branches, recall)
     found, paths = [], []
     root = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("n"), "id", "sig")
     entries = _children(root, 0, branches)
     for level in range(LEVELS):
         counts = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where("n > 1")
-        final = F.lit(level == LEVELS - 1) | (F.col("n") <= leaf) | F.coalesce(F.col("n") * 2 > F.col("parent"), F.lit(False))
+        final = F.lit(level == LEVELS - 1) | (F.col("n") <= leaf) | F.coalesce(F.col("n") * 10 > F.col("parent") * 7, F.lit(False))
         live = entries.select("node", "id").join(counts.select("node", "n", final.alias("final")), "node")
         with_sig, p = stage(live.join(reps, "id").select("node", "id", "n", "final", "sig"), "nodes")
         pairs = (
