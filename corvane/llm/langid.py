@@ -72,15 +72,16 @@ class Filters:
         rows = np.zeros(1 << ROWS, np.uint64)
         for k, lang in enumerate(languages):
             texts = [t for t, x in sample if x == lang]
-            per_text = []
-            for lo in range(0, len(texts), 256):
+            all_, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for lo in range(0, len(texts), 256):  # counts are merged part by part: memory follows the distinct n-grams
                 scan = Scan(pa.array(texts[lo : lo + 256], pa.string()))
                 h, doc = grams(scan)
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
                 new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-                per_text.append(h[new])
-            all_, n = np.unique(np.concatenate(per_text), return_counts=True)
+                part, times = np.unique(h[new], return_counts=True)
+                all_, inverse = np.unique(np.concatenate([all_, part]), return_inverse=True)
+                n = np.bincount(inverse, weights=np.concatenate([n, times]), minlength=len(all_)).astype(np.int64)
             known = all_[n >= min(min_texts, len(texts))]
             for at in cls.places(known):
                 rows[at] |= np.uint64(1 << k)
