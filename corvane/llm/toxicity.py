@@ -197,14 +197,71 @@ class Network:
         return out, np.bincount(doc, minlength=scan.n_docs)
 
 
-def _surplus(slots_by_doc: np.ndarray, docs: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+def _in_chunks(texts: list[str], budget: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) of about `budget` characters each."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= budget):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, texts[lo:hi]
+        lo = hi
+
+
+def _flat(begin: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the list, index into items) of the ragged lists begin[i]..begin[i + 1] of the items asked for."""
+    n = begin[items + 1] - begin[items]
+    own = np.repeat(np.arange(len(items)), n)
+    return own, begin[items][own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+
+
+class _Surplus:
     """For each slot, how far its number of toxic texts is above chance, in standard errors less three, halved, 0 to 3."""
-    pair = np.unique(docs.astype(np.int64) * size + slots_by_doc)
-    slot, toxic = pair % size, y[pair // size] > 0
-    n, pos = np.bincount(slot, minlength=size), np.bincount(slot[toxic], minlength=size)
-    rate = y.mean()
-    z = (pos - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-6)
-    return np.clip(np.where(pos >= 2, (z - 3) / 2, 0), 0, 3).astype(np.float32)
+
+    def __init__(self, size: int) -> None:
+        self.size, self.n, self.pos = size, np.zeros(size), np.zeros(size)
+
+    def add(self, slots: np.ndarray, docs: np.ndarray, y: np.ndarray) -> None:
+        pair = np.unique(docs.astype(np.int64) * self.size + slots)
+        slot, toxic = pair % self.size, y[pair // self.size] > 0
+        self.n += np.bincount(slot, minlength=self.size)
+        self.pos += np.bincount(slot[toxic], minlength=self.size)
+
+    def value(self, rate: float) -> np.ndarray:
+        z = (self.pos - self.n * rate) / np.sqrt(self.n * rate * (1 - rate) + 1e-6)
+        return np.clip(np.where(self.pos >= 2, (z - 3) / 2, 0), 0, 3).astype(np.float32)
+
+
+def _choose(net: Network, texts: list[str], truth: np.ndarray, rng: np.random.Generator, by_network: bool) -> dict[str, np.ndarray] | None:
+    """The windows of one chunk to train on: the highest of a toxic text, the three highest of another, and some at random.
+
+    Returned with the slots of their words, so that nothing else of the chunk is kept.
+    """
+    scan = Scan(pa.array(texts, pa.string()))
+    doc, begin, size = windows(scan.n_words, scan.first)
+    if not len(doc):
+        return None
+    word_slot, inverse, gram_slot, gram_begin = word_inputs(scan)
+    x = net.inputs(word_slot, gram_slot, gram_begin)
+    steps = np.arange(WINDOW)[:, None]
+    if by_network:
+        order = np.zeros(len(doc), np.float32)
+        for lo in range(0, len(doc), 4096):
+            b, s = begin[lo : lo + 4096], size[lo : lo + 4096]
+            live = steps < s
+            order[lo : lo + 4096] = net.score(x, inverse[np.where(live, b + steps, b)], live)
+    else:
+        cum = np.concatenate([[0], np.cumsum((x[:, 0] + x[:, DW])[inverse])])
+        order = cum[begin + size] - cum[begin]
+    rank = np.lexsort((-order, doc))
+    nth = np.arange(len(doc)) - np.searchsorted(doc, np.arange(scan.n_docs))[doc]
+    top = rank[(nth == 0) | ((nth < 3) & (truth[doc] == 0))]
+    extra = rng.choice(len(doc), min(len(doc), len(top) // 2), replace=False)
+    chosen = np.unique(np.concatenate([top, extra[truth[doc[extra]] == 0]]))
+    live = steps < size[chosen]
+    used, at = np.unique(inverse[np.where(live, begin[chosen] + steps, begin[chosen])], return_inverse=True)
+    return {"at": at.reshape(live.shape), "live": live, "y": truth[doc[chosen]], "word": word_slot[used], "char": x[used, DW:]}
 
 
 def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network | None:
@@ -218,76 +275,57 @@ def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, r
     part = np.zeros(len(y), int)
     for c in (0, 1):
         part[y == c] = np.arange((y == c).sum()) % 5
-    texts = np.array([t for t, _ in sample], object)
+    of = lambda which: [sample[i][0] for i in which]
 
     counted = np.flatnonzero(part < 2)
-    if y[counted].any():
-        scan = Scan(pa.array(texts[counted].tolist(), pa.string()))
+    words, chars = _Surplus(1 << WORD_BITS), _Surplus(1 << CHAR_BITS)
+    for lo, texts in _in_chunks(of(counted)):
+        scan = Scan(pa.array(texts, pa.string()))
+        if not len(scan.ws):
+            continue
         word_slot, inverse, gram_slot, begin = word_inputs(scan)
-        yy = y[counted]
-        net.words[:, 0] = _surplus(word_slot[inverse], scan.doc, yy, 1 << WORD_BITS)
-        per_word = begin[1:] - begin[:-1]
-        reps = per_word[inverse]
-        docs = np.repeat(scan.doc, reps)
-        place = np.arange(len(docs)) - np.repeat(np.cumsum(reps) - reps, reps)
-        net.chars[:, 0] = _surplus(gram_slot[np.repeat(begin[:-1][inverse], reps) + place], docs, yy, 1 << CHAR_BITS)
-
-    # windows of the network's part, read once
+        yy = y[counted[lo : lo + len(texts)]]
+        words.add(word_slot[inverse], scan.doc, yy)
+        # each distinct word of a text once, then its n-grams
+        pair = np.unique(scan.doc * len(word_slot) + inverse)
+        own, at = _flat(begin, pair % len(word_slot))
+        chars.add(gram_slot[at], (pair // len(word_slot))[own], yy)
+    net.words[:, 0], net.chars[:, 0] = words.value(float(y[counted].mean())), chars.value(float(y[counted].mean()))
+
     own = np.flatnonzero((part == 2) | (part == 3))
-    scan = Scan(pa.array(texts[own].tolist(), pa.string()))
-    doc, begin, size = windows(scan.n_words, scan.first)
-    if not len(doc):
-        return None
-    word_slot, inverse, gram_slot, gram_begin = word_inputs(scan)
-    steps = np.arange(WINDOW)[:, None]
-    truth = y[own]
-    evidence = net.inputs(word_slot, gram_slot, gram_begin)
-    cum = np.concatenate([[0], np.cumsum((evidence[:, 0] + evidence[:, DW])[inverse])])
-    order = cum[begin + size] - cum[begin]
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     sq = np.full(len(net.words), 1e-4, np.float32)
     step = 0
     for epoch in range(epochs):
-        if epoch:
-            x = net.inputs(word_slot, gram_slot, gram_begin)
-            for lo in range(0, len(doc), 8192):
-                b, s = begin[lo : lo + 8192], size[lo : lo + 8192]
-                live = steps < s
-                order[lo : lo + 8192] = net.score(x, inverse[np.where(live, b + steps, b)], live)
-        rank = np.lexsort((-order, doc))
-        head = np.searchsorted(doc, np.arange(len(own)))
-        nth = np.arange(len(doc)) - head[doc]  # place of the sorted window in its text
-        top = rank[(nth == 0) | ((nth < 3) & (truth[doc] == 0))]
-        extra = rng.choice(len(doc), min(len(doc), len(top) // 2), replace=False)
-        chosen = np.unique(np.concatenate([top, extra[truth[doc[extra]] == 0]]))
-        rng.shuffle(chosen)
+        found = [f for lo, texts in _in_chunks(of(own)) if (f := _choose(net, texts, y[own[lo : lo + len(texts)]], rng, epoch > 0))]
+        if not found:
+            return None
+        shift = np.cumsum([0, *[len(f["word"]) for f in found]])
+        at = np.concatenate([f["at"] + k for f, k in zip(found, shift, strict=False)], axis=1)
+        live, truth = np.concatenate([f["live"] for f in found], axis=1), np.concatenate([f["y"] for f in found])
+        word, char = np.concatenate([f["word"] for f in found]), np.concatenate([f["char"] for f in found])
+        chosen = rng.permutation(len(truth))
         for lo in range(0, len(chosen), batch):
             w = chosen[lo : lo + batch]
-            live = steps < size[w]
-            at = inverse[np.where(live, begin[w] + steps, begin[w])]
-            x = net.inputs(word_slot, gram_slot, gram_begin) if step == 0 else x_now
-            x_now = x
-            t = truth[doc[w]]
-            g, dx, _ = net.gradients(x[at], live, t, np.where(t > 0, 3.0, 1.0).astype(np.float32))
+            a, on, t = at[:, w], live[:, w], truth[w]
+            xs = np.concatenate([net.words[word[a]], char[a]], axis=2)
+            g, dx, _ = net.gradients(xs, on, t, np.where(t > 0, 3.0, 1.0).astype(np.float32))
             step += 1
             for k, v in g.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * v
                 m2[k] = 0.999 * m2[k] + 0.001 * v * v
                 net.p[k] = (net.p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-            # word vectors: adaptive steps of the columns behind the counted one, in place for the words at hand
-            rows = at[live]
-            gw = dx[live][:, 1:DW]
-            slots = word_slot[rows]
+            # word vectors: adaptive steps of the columns behind the counted one
+            gw, slots = dx[on][:, 1:DW], word[a[on]]
             np.add.at(sq, slots, (gw * gw).sum(1))
             np.add.at(net.words[:, 1:], slots, -0.05 * gw / np.sqrt(sq[slots])[:, None])
-            x_now[rows, 1:DW] = net.words[slots, 1:]
 
     # the threshold: amid the widest gap that keeps the most right on the third part (the second, if there is none)
     held = np.flatnonzero(part == 4)
     if not (y[held] > 0).any():
         held = own
-    s, _ = net.doc_scores(pa.array(texts[held].tolist(), pa.string()))
+    s = np.concatenate([net.doc_scores(pa.array(texts, pa.string()))[0] for _, texts in _in_chunks(of(held))])
     net.threshold = best_threshold(s, y[held])
     return net
 
