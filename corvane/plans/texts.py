@@ -267,9 +267,8 @@ def transcript_render(spark, sf_dir):
     return context.transcript(load(spark, sf_dir, "conversations"), date="2024-05-01")
 
 
-@query("""WITH s AS (SELECT source AS note, row_number() OVER (ORDER BY source) AS place FROM (SELECT source FROM documents GROUP BY source)),
-c AS (SELECT d.source AS note, place, doc_id, '## ' || lang || chr(10) || text AS t, row_number() OVER (PARTITION BY d.source ORDER BY doc_id) AS r FROM documents d JOIN s ON d.source = s.note),
-w AS (SELECT note, place, string_agg(t, chr(10) || chr(10) ORDER BY doc_id) AS whole FROM c WHERE r <= 100 GROUP BY note, place)
+@query("""WITH v AS (SELECT source AS note, list('## ' || lang || chr(10) || text ORDER BY doc_id)[1:100] AS ts FROM documents GROUP BY source),
+w AS (SELECT note, row_number() OVER (ORDER BY note) AS place, array_to_string(ts, chr(10) || chr(10)) AS whole FROM v)
 SELECT note, place, '【' || note || '】' || chr(10) || CASE WHEN length(whole) > 3000 THEN left(whole, 3000) || '...' ELSE whole END AS block FROM w""")
 def notes_context(spark, sf_dir):
     """CTX-2: a note for each source."""
