@@ -46,6 +46,7 @@ COORDS, BYTES = 64, 128  # minwise values kept whole, for branching, and as thei
 LEVELS = 9
 _ROOT, _BLOCK = 24, 5  # coordinates that the root picks from, and each further level
 _MULT = (mix(np.arange(1, COORDS + BYTES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
+MAX_BROADCAST_IDS = 4_000_000  # ids of undecided documents that are broadcast; more are joined by a shuffle of the texts
 _WIDTH = COORDS + BYTES // 4  # 32-bit columns of a sketch
 
 
@@ -210,7 +211,8 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             out = [np.unique(h[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "hs"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, hs binary")
+    few = ids.count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, hs binary")
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +232,12 @@ def near_groups(
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t__")).where("id IS NOT NULL AND t__ IS NOT NULL")
     sketched, p_sketch = stage(narrow.mapInArrow(lambda it: sketches(it, shingle), "id long, h1 long, h2 long, sig array<int>"), "sketch")
-    one = sketched.select("id", "h1", "h2").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
-    copies, p_copies = stage(one.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids")).where(F.size("ids") > 1).select("h1", "h2", "rep", F.explode("ids").alias("id")).where("id != rep"), "copies")
-    # sketches of the first of each set of copies (a repeated id has one sketch, that of its smallest hash)
-    reps, p_reps = stage(sketched.join(copies.select("id"), "id", "left_anti").groupBy("id").agg(F.min_by("sig", F.struct("h1", "h2")).alias("sig")), "reps")
+    if not sketched.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        sketched = sketched.groupBy("id").agg(F.min_by(F.struct("h1", "h2", "sig"), F.struct("h1", "h2")).alias("s")).select("id", "s.h1", "s.h2", "s.sig")
+    # the first of each set of copies stands for all; the sets are never gathered
+    reps, p_reps = stage(sketched.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")), "reps")
+    firsts = reps.select("h1", "h2", F.col("id").alias("rep"))
+    copies, p_copies = stage(sketched.select("id", "h1", "h2").join(firsts, ["h1", "h2"]).where("id != rep").select("id", "rep"), "copies")
     release(spark, p_sketch)
 
     margin = 3 * (threshold * (1 - threshold) / (COORDS + BYTES)) ** 0.5
@@ -241,12 +245,12 @@ def near_groups(
     trees = trees_for(threshold, branches, recall)
     found, paths = [], []
     root = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("n"), "id", "sig")
-    entries = _children(root, 0, branches)
+    entries, pool = _children(root, 0, branches), reps.select("id", "sig")
     for level in range(LEVELS):
         counts = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where("n > 1")
         final = F.lit(level == LEVELS - 1) | (F.col("n") <= leaf) | F.coalesce(F.col("n") * 10 > F.col("parent") * 7, F.lit(False))
         live = entries.select("node", "id").join(counts.select("node", "n", final.alias("final")), "node")
-        with_sig, p = stage(live.join(reps, "id").select("node", "id", "n", "final", "sig"), "nodes")
+        with_sig, p = stage(live.join(pool, "id").select("node", "id", "n", "final", "sig"), "nodes")
         pairs = (
             with_sig.where("final").select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id")
             .mapInArrow(lambda it: compare_nodes(it, leaf, low, sure), "a long, b long, sim float")
@@ -254,7 +258,9 @@ def near_groups(
         got, q = stage(pairs.groupBy("a", "b").agg(F.max("sim").alias("sim")), "pairs")
         found.append(got)
         paths.append(q)
-        entries = _children(with_sig.where("NOT final"), level + 1, branches) if level < LEVELS - 1 else None
+        if level < LEVELS - 1:
+            entries = _children(with_sig.where("NOT final"), level + 1, branches)
+            pool = with_sig.where("NOT final").select("id", "sig").dropDuplicates(["id"])  # the next level needs no other sketches
         if level:
             release(spark, p_before)  # noqa: F821
         p_before = p
