@@ -10,7 +10,8 @@ language of the highest corrected share decides.
 
 An n-gram is 3 or 4 characters of a folded word with a boundary mark on either
 side, weighed alike. A language's filter holds the n-grams found in at least
-`min_texts` of its sample texts.
+`min_texts` of its sample texts, and in a share of them that is at least
+`least_rate` of the share in the language that has the n-gram most often.
 
 The sample is at most `bound` labelled rows, by hash order of doc_id; the filters
 (`1 << ROWS` integers) are broadcast and do not grow with the corpus. Scoring is
@@ -63,14 +64,14 @@ class Filters:
     false_rate: np.ndarray  # by language
 
     @classmethod
-    def build(cls, sample: list[tuple[str, str]], min_texts: int = 2) -> Filters | None:
+    def build(cls, sample: list[tuple[str, str]], min_texts: int = 2, least_rate: float = 0.1) -> Filters | None:
         languages = sorted({lang for _, lang in sample})
         if not languages:
             return None
         if len(languages) > MAX_LANGUAGES:
             raise ValueError(f"{len(languages)} languages; a mask holds {MAX_LANGUAGES}")
-        rows = np.zeros(1 << ROWS, np.uint64)
-        for k, lang in enumerate(languages):
+        counted = []
+        for lang in languages:
             texts = [t for t, x in sample if x == lang]
             all_, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             for lo in range(0, len(texts), 256):  # counts are merged part by part: memory follows the distinct n-grams
@@ -82,7 +83,16 @@ class Filters:
                 part, times = np.unique(h[new], return_counts=True)
                 all_, inverse = np.unique(np.concatenate([all_, part]), return_inverse=True)
                 n = np.bincount(inverse, weights=np.concatenate([n, times]), minlength=len(all_)).astype(np.int64)
-            known = all_[n >= min(min_texts, len(texts))]
+            counted.append((all_, n, len(texts)))
+        # a wrongly labelled text brings n-grams of another language: those are far rarer here than there
+        union = np.unique(np.concatenate([c[0] for c in counted]))
+        most = np.zeros(len(union))
+        for all_, n, texts_ in counted:
+            at = np.searchsorted(union, all_)
+            most[at] = np.maximum(most[at], n / texts_)
+        rows = np.zeros(1 << ROWS, np.uint64)
+        for k, (all_, n, texts_) in enumerate(counted):
+            known = all_[(n >= min(min_texts, texts_)) & (n / texts_ >= least_rate * most[np.searchsorted(union, all_)])]
             for at in cls.places(known):
                 rows[at] |= np.uint64(1 << k)
         bits = np.array([((rows >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
