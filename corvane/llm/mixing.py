@@ -65,7 +65,7 @@ def token_count(text: str) -> Column:
 
 def mix_sources(
     docs: DataFrame, schedule: Schedule, *, budget: int | None = None, text: str = "text", source: str = "source", id_col: str = "doc_id", bucket_digits: int = 3,
-    with_text: bool = True,
+    with_text: bool = True, max_broadcast_buckets: int = 1_000_000,
 ) -> DataFrame:
     """docs with epoch, position (0..1) and n_tokens, sorted by position; without text if with_text is false."""
     spark = docs.sparkSession
@@ -88,11 +88,12 @@ def mix_sources(
         (F.sum((F.col("p") + F.col("q")) / 2 * (F.col("t1") - F.col("t0"))) * total).alias("demand"),
     )
     offsets = sums.withColumn("before", F.sum("tokens").over(Window.partitionBy("s").orderBy("b")) - F.col("tokens")).drop("tokens")
-    plan = offsets.join(F.broadcast(per_source), offsets["s"].eqNullSafe(per_source["s"])).select(offsets["s"], "b", "before", "supply", "segs", "demand")
-    # one row per (source, bucket): sources x 16**bucket_digits rows at most, whatever the corpus
+    # sources x 16**bucket_digits rows at most; narrow, and broadcast only if they are few
+    few = len(supply) * 16**bucket_digits <= max_broadcast_buckets
     order = Window.partitionBy(src, b).orderBy(h, id_col)
     laid = prepared.withColumn(run, F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    placed = laid.join(F.broadcast(plan), laid[src].eqNullSafe(plan["s"]) & (laid[b] == plan["b"]))
+    placed = laid.join(F.broadcast(offsets) if few else offsets, laid[src].eqNullSafe(offsets["s"]) & (laid[b] == offsets["b"])).drop(offsets["s"])
+    placed = placed.join(F.broadcast(per_source) if len(supply) <= max_broadcast_buckets else per_source, placed[src].eqNullSafe(per_source["s"]))
     middle = F.col("before") + F.col(run) - F.col(n) / 2
     last_epoch = F.ceil((F.col("demand") - middle) / F.col("supply")).cast("int") - 1
     epochs = placed.withColumn("mid", middle).where((F.col("demand") > 0) & (F.col("mid") < F.col("demand"))).withColumn(epoch, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last_epoch))))
