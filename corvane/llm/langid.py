@@ -125,9 +125,9 @@ class Filters:
 
 
 def fit(docs: DataFrame, *, bound: int = SAMPLE, text: str = "text", lang: str = "lang") -> Filters | None:
-    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col("doc_id").isNotNull())
-    pick = labelled.select(F.col("doc_id").alias("pick__")).distinct().orderBy(F.xxhash64("pick__"), "pick__").limit(bound)
-    rows = labelled.join(F.broadcast(pick), F.col("doc_id") == F.col("pick__")).select(F.col(text).alias("t"), F.col(lang).alias("l")).collect()
+    labelled = docs.select(F.col("doc_id").alias("id__"), F.col(text).alias("t"), F.col(lang).alias("l")).where("id__ IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
+    pick = labelled.select(F.col("id__").alias("pick__")).distinct().orderBy(F.xxhash64("pick__"), "pick__").limit(bound)
+    rows = labelled.join(F.broadcast(pick), F.col("id__") == F.col("pick__")).select("t", "l").collect()
     return Filters.build([(r["t"], r["l"]) for r in rows])
 
 

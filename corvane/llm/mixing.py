@@ -16,8 +16,8 @@ share is read once.
 
 Defined cases: tokens are runs of non-space characters; null and empty texts have
 none and are never placed. A null source is a source of its own. A source without
-a schedule entry takes the weights of `default`; if there is none, it is left out,
-as is one whose weights are all 0 or whose demand is 0. Repeated rows are laid out
+a schedule entry takes the weights of "*"; if there is none, it is left out, as is
+one whose weights are all 0. Repeated rows are laid out
 one after another, each with its own place. Ties of the pseudo-random order go by
 doc_id. Extra columns pass through. Empty tables give an empty result.
 
@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import release, spare, stage, table
+from corvane.llm.common import spare, stage, table
 
 #: (time, {source: weight}); "*" stands for every other source.
 Schedule = list[tuple[float, dict[str, float]]]
@@ -70,47 +70,47 @@ def mix_sources(
     """docs with epoch, position (0..1) and n_tokens, sorted by position; without text if with_text is false."""
     spark = docs.sparkSession
     cols = docs.columns if with_text else [c for c in docs.columns if c != text]
-    h, b, n, src, run = (spare(docs.columns, x) for x in ("hash__", "bucket__", "n_tokens", "src__", "run__"))
-    epoch, position = spare(docs.columns, "epoch"), spare(docs.columns, "position")
+    n, epoch, position = (spare(docs.columns, x) for x in ("n_tokens", "epoch", "position"))
+    # working columns, under names that no column of docs has
+    h, b, src, run, mid, want, seg = (spare(docs.columns, f"mix_{x}__") for x in ("hash", "bucket", "source", "run", "mid", "want", "seg"))
+    s_, b_, before, z_, supply_, segs, demand = (spare(docs.columns, f"mix_{x}__") for x in ("s", "b", "before", "z", "supply", "segs", "demand"))
     prepared = (
         docs.withColumn(n, token_count(text)).where(F.col(n) > 0)
         .withColumn(h, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn(b, F.substring(h, 1, bucket_digits)).withColumn(src, F.col(source).cast("string"))
     ).select(*cols, n, h, b, src)
-    sums, path = stage(prepared.groupBy(F.col(src).alias("s"), F.col(b).alias("b")).agg(F.sum(n).alias("tokens")), "mixing")
+    sums, _ = stage(prepared.groupBy(F.col(src).alias(s_), F.col(b).alias(b_)).agg(F.sum(n).alias("tokens")), "mixing")
     # sources are few (a domain list); their number, not the documents', is what comes to the driver
-    supply = {r["s"]: r["tokens"] for r in sums.groupBy("s").agg(F.sum("tokens").alias("tokens")).collect()}
+    supply = {r[0]: r[1] for r in sums.groupBy(s_).agg(F.sum("tokens").alias("tokens")).collect()}
     total = budget if budget is not None else sum(supply.values())
-    segments = [(s, t0, t1, p, q, done, supply[s]) for s, t0, t1, p, q, done in shares(schedule, sorted(supply, key=lambda s: (s is not None, s or "")))]
-    seg = spark.createDataFrame(segments, "s string, t0 double, t1 double, p double, q double, done double, supply long")
-    per_source = seg.groupBy("s").agg(
-        F.first("supply").alias("supply"),
-        F.array_sort(F.collect_list(F.struct("t0", "t1", "p", "q", "done"))).alias("segs"),
-        (F.sum((F.col("p") + F.col("q")) / 2 * (F.col("t1") - F.col("t0"))) * total).alias("demand"),
-    )
-    offsets = sums.withColumn("before", F.sum("tokens").over(Window.partitionBy("s").orderBy("b")) - F.col("tokens")).drop("tokens")
+    by_source = shares(schedule, sorted(supply, key=lambda s: (s is not None, s or "")))
+    parts: dict[str | None, list[tuple]] = {}
+    for s, *segment in by_source:
+        parts.setdefault(s, []).append(tuple(segment))
+    rows = [(s, supply[s], p, total * sum((x[2] + x[3]) / 2 * (x[1] - x[0]) for x in p)) for s, p in parts.items()]
+    per_source = spark.createDataFrame(rows, f"{z_} string, {supply_} long, {segs} array<struct<t0:double,t1:double,p:double,q:double,done:double>>, {demand} double")
+    offsets = sums.withColumn(before, F.sum("tokens").over(Window.partitionBy(s_).orderBy(b_)) - F.col("tokens")).drop("tokens")
     # sources x 16**bucket_digits rows at most; narrow, and broadcast only if they are few
     few = len(supply) * 16**bucket_digits <= max_broadcast_buckets
     order = Window.partitionBy(src, b).orderBy(h, id_col)
     laid = prepared.withColumn(run, F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    placed = laid.join(F.broadcast(offsets) if few else offsets, laid[src].eqNullSafe(offsets["s"]) & (laid[b] == offsets["b"])).drop(offsets["s"])
-    placed = placed.join(F.broadcast(per_source) if len(supply) <= max_broadcast_buckets else per_source, placed[src].eqNullSafe(per_source["s"]))
-    middle = F.col("before") + F.col(run) - F.col(n) / 2
-    last_epoch = F.ceil((F.col("demand") - middle) / F.col("supply")).cast("int") - 1
-    epochs = placed.withColumn("mid", middle).where((F.col("demand") > 0) & (F.col("mid") < F.col("demand"))).withColumn(epoch, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last_epoch))))
-    want = (F.col("mid") + F.col(epoch) * F.col("supply")) / F.lit(float(max(total, 1)))
-    found = epochs.withColumn("want", want)
-
-    def invert(s: Column) -> Column:
-        """The time within segment s at which the integral reaches want."""
-        span, rest = s["t1"] - s["t0"], F.greatest(F.lit(0.0), F.col("want") - s["done"])
-        slope = (s["q"] - s["p"]) / span
-        root = F.sqrt(F.greatest(F.lit(0.0), s["p"] * s["p"] + 2 * slope * rest))
+    placed = laid.join(F.broadcast(offsets) if few else offsets, F.col(src).eqNullSafe(F.col(s_)) & (F.col(b) == F.col(b_)))
+    placed = placed.join(F.broadcast(per_source) if len(supply) <= max_broadcast_buckets else per_source, F.col(src).eqNullSafe(F.col(z_)))
+    placed = placed.withColumn(mid, F.col(before) + F.col(run) - F.col(n) / 2).where((F.col(demand) > 0) & (F.col(mid) < F.col(demand)))
+    last_epoch = F.ceil((F.col(demand) - F.col(mid)) / F.col(supply_)).cast("int") - 1
+    epochs = placed.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last_epoch))))
+    found = epochs.withColumn(want, (F.col(mid) + F.col(epoch) * F.col(supply_)) / F.lit(float(max(total, 1))))
+
+    def invert(x: Column) -> Column:
+        """The time within segment x at which the integral reaches what is wanted."""
+        span, rest = x["t1"] - x["t0"], F.greatest(F.lit(0.0), F.col(want) - x["done"])
+        slope = (x["q"] - x["p"]) / span
+        root = F.sqrt(F.greatest(F.lit(0.0), x["p"] * x["p"] + 2 * slope * rest))
         # 2 c / (b + sqrt(b^2 + 2 a c)) holds for a flat share too
-        return s["t0"] + F.least(span, F.when(s["p"] + root > 0, 2 * rest / (s["p"] + root)).otherwise(F.lit(0.0)))
+        return x["t0"] + F.least(span, F.when(x["p"] + root > 0, 2 * rest / (x["p"] + root)).otherwise(F.lit(0.0)))
 
-    segment = F.element_at(F.filter("segs", lambda s: (s["done"] <= F.col("want")) & ((s["p"] > 0) | (s["q"] > 0))), -1)
-    out = found.withColumn("seg", segment).withColumn(position, F.round(invert(F.col("seg")), 9))
-    return out.select(*cols, n, F.col(epoch), F.col(position)).repartitionByRange(F.col(position), F.col(epoch), F.col(id_col)).sortWithinPartitions(position, epoch, id_col)
+    segment = F.element_at(F.filter(segs, lambda x: (x["done"] <= F.col(want)) & ((x["p"] > 0) | (x["q"] > 0))), -1)
+    out = found.withColumn(seg, segment).withColumn(position, F.round(invert(F.col(seg)), 9))
+    return out.select(*cols, n, epoch, position).repartitionByRange(F.col(position), F.col(epoch), F.col(id_col)).sortWithinPartitions(position, epoch, id_col)
 
 
 #: Production schedule: the one large source at two fifths of the tokens at first and a fifth at the end, the others level.

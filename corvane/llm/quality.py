@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import labelled_sample, pieces, spare, table
+from corvane.llm.common import labelled_sample, pieces, spare, stage, table
 from corvane.llm.textkernel import SPACE, WORD, Scan, doc_shingles
 from corvane.llm.toxicity import best_threshold
 
@@ -171,7 +171,7 @@ def score_documents(
 ) -> DataFrame:
     """docs with evidence (log odds of the text), posterior (of the place), quality (0..1) and keep."""
     spark, base = docs.sparkSession, docs.columns
-    host, path, ev, post, quality, keep = (spare(base, c) for c in ("host__", "path__", "evidence", "posterior", "quality", "keep"))
+    host, path, off, ev, post, quality, keep = (spare(base, c) for c in ("host__", "path__", "offset__", "evidence", "posterior", "quality", "keep"))
     if model is None:
         return docs.select("*", F.lit(0.0).alias(ev), F.lit(0.5).alias(post), F.lit(0.5).alias(quality), F.lit(True).alias(keep))
     shared = spark.sparkContext.broadcast(model)
@@ -193,14 +193,12 @@ def score_documents(
         # fixed-point sums do not depend on the order of addition
         .groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("p") * 1_000_000).cast("long")) / 1_000_000.0).alias("good"))
     )
-    from corvane.llm.common import stage
-
     counts, _ = stage(counts, "quality")
-    table_ = posteriors(counts).select(F.col("host").alias(host), F.col("path").alias(path), F.col("posterior").alias(post), F.col("offset").alias("offset__"))
+    table_ = posteriors(counts).select(F.col("host").alias(host), F.col("path").alias(path), F.col("posterior").alias(post), F.col("offset").alias(off))
     few = counts.count() <= max_broadcast_paths
     scored = docs.mapInArrow(evidence, T.StructType([*docs.schema, T.StructField(ev, T.DoubleType())]))
     hit = scored.join(F.broadcast(table_) if few else table_.hint("shuffle_hash"), h.eqNullSafe(F.col(host)) & p.eqNullSafe(F.col(path)))
-    odds = F.col(ev) + place_weight * F.col("offset__")
+    odds = F.col(ev) + place_weight * F.col(off)
     cut = float(np.log(model.threshold / (1 - model.threshold)))
     return hit.select(*[F.col(c) for c in base], F.round(F.col(ev), 6).alias(ev), F.round(F.col(post), 6).alias(post), F.round(1 / (1 + F.exp(-odds)), 6).alias(quality), (odds >= cut).alias(keep))
 
