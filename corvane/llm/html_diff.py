@@ -15,12 +15,12 @@ is alone on its host keeps all its lines.
 
 Defined cases: null html counts as empty and gives empty text; a null or malformed
 URL belongs to the host "" with the whole URL as path. Pages of equal URL are
-neighbours in order of page_id, then of their lines; a repeated row is a page like any other, and
+neighbours in order of page_id, then of their packed lines; a repeated row is a page like any other, and
 as its neighbour shares all its lines, both come out empty. Very long pages are
 aligned by matching pairs (Hunt-Szymanski), not by a full table. Other columns are
 not read.
 
-Scale: one shuffle of extracted lines, to their host. A host of more than
+Scale: one shuffle of extracted lines (packed with zstd), to their host. A host of more than
 `large_host` pages is split into groups by the beginning of the path, whose order is
 that of the paths; the first and last page of each group go to the neighbouring
 groups by a small join. A large host is thus as many tasks as its paths have
@@ -35,6 +35,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def text_lines(page: str | None) -> list[str]:
     return [x for x in out if x]
 
 
-def common_lines(a: list[int], b: list[int]) -> list[bool]:
+def common_lines(a: list, b: list) -> list[bool]:
     """For each item of a, whether the longest common subsequence with b holds it."""
     shared = [False] * len(a)
     lo = 0
@@ -68,7 +69,7 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     while end_a > lo and end_b > lo and a[end_a - 1] == b[end_b - 1]:
         end_a, end_b = end_a - 1, end_b - 1
         shared[end_a] = True
-    places: dict[int, list[int]] = {}
+    places: dict[object, list[int]] = {}
     for j in range(end_b - 1, lo - 1, -1):
         places.setdefault(b[j], []).append(j)  # from the back
     tails: list[int] = []  # the smallest last place of a subsequence of each length
@@ -92,19 +93,28 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            lines = [text_lines(x) for x in part.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lines, pa.list_(pa.string()))], names=["page_id", "host", "path", "lines"])
+            lines = [pack("\n".join(text_lines(x)).encode("utf-8", "surrogatepass")) for x in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lines, pa.binary())], names=["page_id", "host", "path", "lines"])
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def read(blob: bytes | None) -> list[str] | None:
+        if blob is None:
+            return None
+        text = unpack(blob).decode("utf-8", "surrogatepass")
+        return text.split("\n") if text else []
+
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             texts, total, gone = [], [], []
-            for own, other in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for own, other in zip(map(read, part.column(2).to_pylist()), map(read, part.column(3).to_pylist()), strict=True):
                 shared = common_lines(own, other) if other is not None else [False] * len(own)
                 texts.append("\n".join(x for x, s in zip(own, shared, strict=True) if not s))
                 total.append(len(own))
@@ -138,7 +148,7 @@ def difference_pages(pages: DataFrame, *, large_host: int = 5000) -> DataFrame:
     placed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col("html"))
 
     def keyed(df: DataFrame) -> DataFrame:
-        lined = df.mapInArrow(_lines, "page_id long, host string, path string, lines array<string>")
+        lined = df.mapInArrow(_lines, "page_id long, host string, path string, lines binary")
         return lined.join(large, lined["host"] == large["large"], "left").withColumn("g", F.expr("coalesce(substring(path, 1, cut), '')")).drop("large", "cut")
 
     me = F.struct("path", "page_id", "lines")
