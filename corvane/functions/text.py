@@ -143,13 +143,13 @@ TOKEN = r"[\x{4E00}-\x{9FFF}]|[^\W\x{4E00}-\x{9FFF}]+|[^\w\s]"
 
 def token_count(c: Column) -> Column:
     """SCL-1 without a model: Han characters, words and marks, one token each."""
-    return F.regexp_count(c, F.lit(TOKEN)).cast("int")
+    return F.regexp_count(c, F.lit("(?U)" + TOKEN)).cast("int")
 
 
 def truncate_tokens(c: Column, most: Column | int) -> Column:
     """SCL-2: the first `most` tokens, back to the last of the first separator whose last place lies beyond 70 % of them."""
     n = most if isinstance(most, Column) else F.lit(most)
-    cut = F.array_join(F.slice(F.regexp_extract_all(c, F.lit(rf"\s*(?:{TOKEN})"), F.lit(0)), F.lit(1), n), "")
+    cut = F.array_join(F.slice(F.regexp_extract_all(c, F.lit(rf"(?U)\s*(?:{TOKEN})"), F.lit(0)), F.lit(1), n), "")
     tries = []
     for sep in ("。", "！", "？", ".", "!", "?", "\n\n", "\n"):
         place = F.length(cut) - F.instr(F.reverse(cut), sep[::-1]) - len(sep) + 1  # 0-based place of the last one
