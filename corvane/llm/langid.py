@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import pieces, table
 from corvane.llm.textkernel import Scan, mix
+from corvane.llm.toxicity import in_chunks
 
 ROWS, K = 21, 3
 GRAMS = (3, 4)
@@ -74,8 +75,8 @@ class Filters:
         for lang in languages:
             texts = [t for t, x in sample if x == lang]
             all_, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for lo in range(0, len(texts), 256):  # counts are merged part by part: memory follows the distinct n-grams
-                scan = Scan(pa.array(texts[lo : lo + 256], pa.string()))
+            for _, part_texts in in_chunks(texts):  # counts are merged part by part: memory follows the distinct n-grams
+                scan = Scan(pa.array(part_texts, pa.string()))
                 h, doc = grams(scan)
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]

@@ -40,7 +40,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "pow" not in _state or len(_state["pow"]) < n:
-        m = max(n, 1 << 21)
+        m = 1 << max(18, (n - 1).bit_length())
         for name, base in (("pow", _BASE), ("inv", _INV)):
             x = np.full(m, base, np.uint64)
             x[0] = 1
