@@ -7,14 +7,16 @@ inequality y's distance to its own pivot p is at least d(x, p) - r and, p being
 y's nearest, d(x, p) <= d(x, home pivot of x) + 2 r. So x is copied to every cell
 whose pivot is within d(home) + 2 r of it and whose own radius R reaches it,
 d(x, p) <= R + r; among them only those also count whose bisecting plane with
-the home is within r (two more consequences of the same inequality in Euclidean
-space), which prunes most. Each cell compares its residents with each other and
-with the copies, without regard to other cells; every pair is found in the home cell
-of its either member, and reported once. The result is exact.
+the home is within r (which follows from the same inequality in Euclidean space).
+Each cell compares its residents with each other and with the copies, without
+regard to other cells. A pair of two homes is found in the lower-numbered one, so
+copies go to lower cells only. The result is exact.
 
-Pivots are `n_pivots` vectors spread by a greedy farthest-first choice from a bounded
-sample; by default a square root of the number of vectors, up to `max_pivots`. They
-choose speed only, never the result.
+Pivots are spread by a greedy farthest-first choice from a bounded sample: one for
+every `per_pivot` vectors, up to `max_pivots`. They choose speed only, never the
+result. How much they save depends on the vectors: clusters further apart than r are
+never compared, but vectors spread evenly over many dimensions are about as far from
+all pivots, and nearly every cell then gets a copy (see the README for figures).
 
 Defined cases: a vector that is null, empty, of zero length, or holds a null, NaN or
 infinite entry has no direction and is in no pair. Vectors of different dimension
@@ -23,8 +25,9 @@ id counts as rows of their own, but no id is paired with itself and each pair is
 reported once, with its highest similarity. Other columns are not read.
 
 Scale: pivots are broadcast (bounded by `max_pivots`); vectors are shuffled to their
-cells, as 4-byte floats. A cell larger than `block` rows is compared block by block,
-each block pair a task of its own, so that a dense cell spreads over the cluster.
+cells, as 4-byte floats. A cell is compared in rectangles of `block` residents by
+4 * `block` residents or copies, each a task's work, so that a dense cell spreads
+over the cluster and a task's memory is bounded.
 """
 
 from __future__ import annotations
@@ -39,18 +42,28 @@ from pyspark.sql import functions as F
 from corvane.llm.common import stage, table
 
 
-def unit_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(ids, unit vectors in double) of the rows that have a direction."""
-    ids, out = [], []
+def rows_of(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension: (ids, vectors as given) of the rows that have a direction."""
+    found: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
         if i is None or not v.is_valid or v.values.null_count or not len(v.values):
             continue
-        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        n = np.sqrt((x * x).sum())
+        x = v.values.to_numpy(zero_copy_only=False).astype(np.float32)
+        n = float(np.square(x.astype(np.float64)).sum())
         if np.isfinite(n) and n > 0:
+            ids, xs = found.setdefault(len(x), ([], []))
             ids.append(i)
-            out.append(x / n)
-    return np.array(ids, np.int64), out
+            xs.append(x)
+    return {dim: (np.array(ids, np.int64), np.array(xs)) for dim, (ids, xs) in found.items()}
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt(np.square(x).sum(1, keepdims=True))
+
+
+def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(np.square(x).sum(1)[:, None] + np.square(p).sum(1) - 2 * x @ p.T, 0))
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -68,90 +81,90 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def near_pairs(vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", max_pivots: int = 256, n_pivots: int | None = None, block: int = 4096) -> DataFrame:
+def near_pairs(
+    vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", per_pivot: int = 4096, max_pivots: int = 256,
+    n_pivots: int | None = None, block: int = 32768,
+) -> DataFrame:
     """(a, b, similarity): every pair a < b of cosine similarity threshold or more."""
     spark = vectors.sparkSession
     if not -1 <= threshold <= 1:
         raise ValueError("a cosine is within -1..1")
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     sizes = rows.where("v IS NOT NULL AND id IS NOT NULL").groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where("dim > 0").collect()
     pivots: dict[int, np.ndarray] = {}
     for s in sizes:
-        want = n_pivots or max(1, min(max_pivots, int(s["n"] ** 0.5 / 2)))
+        want = n_pivots or max(1, min(max_pivots, -(-s["n"] // per_pivot)))
         # pivots come from a sample bounded by their number: they set the speed, not the result
         some = rows.where(F.size("v") == s["dim"]).where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(want * 8).toArrow()
-        got = [unit_rows(b)[1] for b in some.to_batches()]
-        flat = [x for g in got for x in g]
-        if flat:
-            pivots[s["dim"]] = choose_pivots(np.array(flat), want)
+        got = [rows_of(b)[s["dim"]][1] for b in some.to_batches() if s["dim"] in rows_of(b)]
+        # a sample without a direction leaves an arbitrary pivot
+        pivots[s["dim"]] = choose_pivots(unit(np.concatenate(got)), want) if got else np.eye(1, s["dim"])
     shared = spark.sparkContext.broadcast(pivots)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vs = unit_rows(batch)
-            out = []
-            for i, x in zip(ids, vs, strict=True):
-                p = shared.value.get(len(x))
-                if p is not None:
-                    d = np.sqrt(np.maximum(((p - x) ** 2).sum(1), 0))
-                    k = int(d.argmin())
-                    out.append((int(i), len(x), k, float(d[k]), x.astype(np.float64).tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "dim", "cell", "d", "x"])
+            for dim, (ids, x) in rows_of(batch).items():
+                d = distances(unit(x), shared.value[dim])
+                home = d.argmin(1)
+                cols = [pa.array(ids), pa.array(np.full(len(ids), dim, np.int32)), pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(ids)), home]), pa.array([r.tobytes() for r in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "dim", "cell", "d", "x"])
 
     home, _ = stage(rows.mapInArrow(homes, "id long, dim int, cell int, d double, x binary"), "homes")
-    radii = {(r["dim"], r["cell"]): r["r"] for r in home.groupBy("dim", "cell").agg(F.max("d").alias("r")).collect()}  # max_pivots rows per dimension at most
-    reach = spark.sparkContext.broadcast(radii)
+    cells = home.groupBy("dim", "cell").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # one row for each pivot
+    reach = spark.sparkContext.broadcast({(r["dim"], r["cell"]): r["r"] for r in cells})
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row in its own cell (home true) and in those that its partners may be at home in.
-
-        A pair of two homes is kept in the lower cell, so copies go to lower cells only.
-        """
+        """Each row in its own cell (own true) and in the lower ones that its partners may be at home in."""
         for batch in batches:
-            cells, take, own = [], [], []
-            for k, (dim, c, d, raw) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)):
-                cells.append(c), take.append(k), own.append(True)
-                p = shared.value[dim]
-                if not c:
-                    continue
-                x = np.frombuffer(raw)
-                dist = np.sqrt(np.maximum(((p[:c] - x) ** 2).sum(1), 0))
-                plane = (dist**2 - d * d) / (2 * np.maximum(np.sqrt(((p[:c] - p[c]) ** 2).sum(1)), 1e-12))
-                limit = np.array([reach.value.get((dim, j), -np.inf) for j in range(c)])
-                for j in np.flatnonzero((dist <= d + 2 * radius) & (dist <= limit + radius) & (plane <= radius)):
-                    cells.append(int(j)), take.append(k), own.append(False)
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells, pa.int32()), pa.array(own, pa.bool_()), batch.column(4).take(at)], names=["id", "dim", "cell", "own", "x"])
+            dims, cell, d = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            take, where = [np.arange(len(dims))], [cell]
+            for dim in np.unique(dims):
+                p, at = shared.value[int(dim)], np.flatnonzero(dims == dim)
+                x = unit(np.frombuffer(b"".join(batch.column(4).take(pa.array(at)).to_pylist()), np.float32).reshape(-1, dim))
+                dist, home_d = distances(x, p), d[at][:, None]
+                plane = (dist**2 - home_d**2) / (2 * np.maximum(distances(p, p)[cell[at]], 1e-9))
+                limit = np.array([reach.value.get((int(dim), j), -np.inf) for j in range(len(p))])
+                go = (dist <= home_d + 2 * radius) & (dist <= limit + radius) & (plane <= radius) & (np.arange(len(p)) < cell[at][:, None])
+                i, j = np.nonzero(go)
+                take.append(at[i]), where.append(j)
+            t = pa.array(np.concatenate(take))
+            own = np.concatenate([np.ones(len(dims), bool), np.zeros(len(t) - len(dims), bool)])
+            cols = [batch.column(0).take(t), batch.column(1).take(t), pa.array(np.concatenate(where).astype(np.int32)), pa.array(own), batch.column(4).take(t)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "dim", "cell", "own", "x"])
 
     placed, _ = stage(home.mapInArrow(copies, "id long, dim int, cell int, own boolean, x binary"), "cells")
-    # a cell of many rows becomes a triangle of blocks, so that no task compares more than two blocks
-    counts = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    cut = placed.join(F.broadcast(counts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    pairs_of = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("lo"), F.greatest(k, F.col("part")).alias("hi")))
-    spread = cut.withColumn("pair", F.explode(pairs_of)).select("id", "dim", "cell", "own", "part", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "x")
+    # rectangles of a cell: residents in `lefts` parts by all its rows in `rights` parts
+    per_cell = placed.groupBy("dim", "cell").agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if("own") / block)).cast("int").alias("lefts"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (4 * block))).cast("int").alias("rights"),
+    )
+    h = F.xxhash64("id", "x")
+    cut = placed.join(F.broadcast(per_cell), ["dim", "cell"])
+    cut = cut.withColumn("l", F.pmod(h, F.col("lefts")).cast("int")).withColumn("r", F.pmod(F.xxhash64(h), F.col("rights")).cast("int"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda k: F.struct(k.alias("lo"), F.col("r").alias("hi")))
+    as_left = F.when(F.col("own"), F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda k: F.struct(F.col("l").alias("lo"), k.alias("hi")))).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+    spread = cut.withColumn("to", F.explode(F.array_union(as_right, as_left))).select("id", "dim", "cell", "own", "l", "r", F.col("to.lo").alias("lo"), F.col("to.hi").alias("hi"), "x")
 
     def compare(key, group):
         dim, _, lo, hi = (k.as_py() for k in key)
-        part = group.column("part").to_numpy()
-        ids, own = group.column("id").to_numpy(), group.column("own").to_numpy(zero_copy_only=False)
-        x = np.frombuffer(b"".join(group.column("x").to_pylist())).reshape(-1, dim)
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        a_all, b_all, s_all = [], [], []
-        x32 = x.astype(np.float32)
-        for k in range(0, len(left), 1024):
-            rows_ = left[k : k + 1024]
-            i, j = np.nonzero(x32[rows_] @ x32[right].T >= threshold - 1e-4)
-            i, j = rows_[i], right[j]
-            ok = (ids[i] != ids[j]) & (own[i] | own[j]) & ((i < j) | (lo != hi))
-            i, j = i[ok], j[ok]
-            s = np.einsum("ij,ij->i", x[i], x[j])
-            ok = s >= threshold
-            a_all.append(np.minimum(ids[i], ids[j])[ok]), b_all.append(np.maximum(ids[i], ids[j])[ok]), s_all.append(s[ok])
-        cat = lambda z, t: pa.array(np.concatenate(z) if z else np.zeros(0), t)
-        return pa.table({"a": cat(a_all, pa.int64()), "b": cat(b_all, pa.int64()), "similarity": cat(s_all, pa.float64())})
+        ids, own = group.column("id").to_numpy(), group.column("own").to_numpy()
+        x = np.frombuffer(b"".join(group.column("x").to_pylist()), np.float32).reshape(-1, dim)
+        u = unit(x).astype(np.float32)
+        left, right = np.flatnonzero(own & (group.column("l").to_numpy() == lo)), np.flatnonzero(group.column("r").to_numpy() == hi)
+        found = []
+        for k in range(0, len(left), 512):
+            for m in range(0, len(right), 16384):
+                i, j = np.nonzero(u[left[k : k + 512]] @ u[right[m : m + 16384]].T >= threshold - 1e-4)
+                i, j = left[k : k + 512][i], right[m : m + 16384][j]
+                # a pair of two residents stands in two rectangles, or twice in one
+                ok = (ids[i] != ids[j]) & (~own[j] | (ids[i] < ids[j]))
+                i, j = i[ok], j[ok]
+                if len(i):
+                    s = np.einsum("ij,ij->i", unit(x[i]), unit(x[j]))
+                    ok = s >= threshold
+                    found.append((np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok], s[ok]))
+        a, b, s = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
     found = spread.groupBy("dim", "cell", "lo", "hi").applyInArrow(compare, "a long, b long, similarity double")
     return found.groupBy("a", "b").agg(F.round(F.max("similarity"), 4).alias("similarity"))
