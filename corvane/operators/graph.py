@@ -9,32 +9,19 @@ iterations, so that neither the plan nor the loss of an executor grows with the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.sources.staging import release, stage
 
 DAMPING, ITERATIONS = 0.85, 30
 
 
-def shared_folder(spark) -> str:
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
 def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/corvane-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, "graph")[0]
 
 
 def note_links(notes: DataFrame, *, content: str = "content", note: str = "note") -> DataFrame:
@@ -90,13 +77,16 @@ def _joined(edges: DataFrame, seeds: DataFrame, damping: float, iterations: int,
     distinct = seeds.where(F.col("node") != "").select("seed_set", "node").distinct()
     count = distinct.groupBy("seed_set").agg(F.count(F.lit(1)).alias("n"))
     restart = staged(distinct.join(count, "seed_set").select("seed_set", F.col("node").alias("note"), (1 / F.col("n")).alias("score")))
-    score = restart
+    score, path = restart, None
     for i in range(iterations):
         moved = score.join(out, score["note"] == out["src"]).select("seed_set", F.col("dst").alias("note"), (damping * F.col("score") / F.col("degree")).alias("score"))
         back = restart.select("seed_set", "note", (F.col("score") * (1 - damping)).alias("score"))
         score = moved.unionByName(back).groupBy("seed_set", "note").agg(F.sum("score").alias("score"))
         if (i + 1) % every == 0 and i + 1 < iterations:
-            score = staged(score)
+            score, now = stage(score, "graph")
+            if path:
+                release(seeds.sparkSession, path)
+            path = now
     return score
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,14 +54,46 @@ def top_k_by_example(rows: DataFrame, example: DataFrame, k: int, *, vec: str =
 
 
 def top_k_many(rows: DataFrame, queries: DataFrame, k: int, *, vec: str = "vector", key: str = "id", max_broadcast: int = 10_000) -> DataFrame:
-    """KNN-1 for a table of queries (qid, query): each query's k nearest, one pass over the rows.
+    """KNN-1 for a table of queries (qid, query): each query's k nearest rows, with distance and rank, in one pass over the rows.
 
-    Queries are broadcast up to max_broadcast (checked); beyond that Spark plans the product by partitions.
+    A batch of rows is compared with all queries by one matrix product and passes on only what may still be among the k
+    nearest, so that what is shuffled is k rows for each query and batch. The queries are broadcast up to max_broadcast
+    (checked); more of them are taken in that many at a time.
     """
-    few = queries.limit(max_broadcast + 1).count() <= max_broadcast
-    pairs = rows.crossJoin(F.broadcast(queries) if few else queries).withColumn("distance", cosine_distance(F.col(vec), F.col("query"))).drop("query", vec)
+    n = queries.count()
+    parts = max(1, -(-n // max_broadcast))
+    kind, names = queries.schema["qid"], [c for c in rows.columns if c != vec]
+    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("qid", kind.dataType), T.StructField("distance", T.DoubleType())])
+    found = None
+    for p in range(parts):
+        mine = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p)
+        near = rows.select(*names, vec).mapInArrow(_nearest(mine.select("qid", "query").toArrow(), k, names, kind), schema)
+        found = near if found is None else found.unionByName(near)
     w = Window.partitionBy("qid").orderBy(F.round("distance", 12), key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # a group limit: partitions keep k each
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(queries: pa.Table, k: int, names: list[str], kind: T.StructField):
+    qids, q = queries.column("qid").combine_chunks(), np.array(queries.column("query").to_pylist(), np.float64)
+    scale = np.sqrt(np.square(q).sum(1)) if len(q) else np.zeros(0)
+
+    def run(batches):
+        for batch in batches:
+            vectors = batch.column(len(names)).to_pylist()
+            fit = np.array([i for i, v in enumerate(vectors) if v is not None and len(q) and len(v) == q.shape[1]], np.int64)
+            if not len(fit):
+                continue
+            x = np.array([vectors[i] for i in fit], np.float64)
+            size = np.sqrt(np.square(x).sum(1))[:, None] * scale
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = np.where(size > 0, 1 - (x @ q.T) / size, 1.0)
+            # ties at the k-th place all pass: the key decides later
+            last = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1]
+            i, j = np.nonzero(d <= last + 1e-11)
+            cols = [batch.column(c).take(pa.array(fit[i])) for c in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, qids.take(pa.array(j)), pa.array(d[i, j])], names=[*names, "qid", "distance"])
+
+    return run
 
 
 def over_fetch(profile: str, n: int) -> int:
@@ -98,8 +133,6 @@ def embed_batches(df: DataFrame, embedder: Embedder, *, text: str = "text", out:
 
     What fails alone, or comes back with NaN, has a null vector and (with_error) its message.
     """
-    from pyspark.sql import types as T
-
     schema = T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.FloatType()))] + ([T.StructField("error", T.StringType())] if with_error else []))
 
     def good(v) -> bool:

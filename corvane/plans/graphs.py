@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.operators import changes, entities, graph, stats
 from corvane.plans.retrieval import QUERIES as _known
 from corvane.plans.retrieval import load
+from corvane.sources.staging import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -253,7 +254,7 @@ def upsert_snapshot(spark, sf_dir):
     now, then = _scans(spark, sf_dir)
     import uuid
 
-    t = SnapshotTable(spark, f"{graph.shared_folder(spark)}/corvane-snapshot-{uuid.uuid4().hex}")
+    t = SnapshotTable(spark, f"{shared_folder(spark)}/corvane-snapshot-{uuid.uuid4().hex}")
     t.overwrite(then)
     t.upsert(now)
     t.purge()

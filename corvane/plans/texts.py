@@ -16,6 +16,7 @@ from corvane.functions import text as tx
 from corvane.operators import chunking, context, dedup, graph, stats
 from corvane.plans.retrieval import load
 from corvane.sources import markdown
+from corvane.sources.staging import shared_folder
 from corvane.streaming import ingest
 
 QUERIES: dict = {}
@@ -378,7 +379,7 @@ def debounce_stream(spark, sf_dir):
     A last event far ahead closes the remaining bursts and is then left out.
     """
     events = load(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    root = f"{graph.shared_folder(spark)}/corvane-stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/corvane-stream-{uuid.uuid4().hex}"
     events.write.parquet(f"{root}/in/a")
     ahead = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("event_id"))
     ahead.coalesce(1).write.parquet(f"{root}/in/b")
@@ -447,7 +448,7 @@ def ingest_stream(spark, sf_dir):
     """STR-1..4: all documents streamed in, upserted into a snapshot table batch by batch, twice over without a change."""
     from corvane.sources.snapshots import SnapshotTable
 
-    root = f"{graph.shared_folder(spark)}/corvane-ingest-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/corvane-ingest-{uuid.uuid4().hex}"
     d = load(spark, sf_dir, "documents")
     note = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     rows = d.select(F.concat("source", F.lit("/"), note, F.lit(".md")).alias("file"), note.alias("note"), F.col("source").alias("folder"), F.col("doc_id").cast("double").alias("mtime"), F.col("text").alias("content"))
