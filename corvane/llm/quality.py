@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import labelled_sample, pieces, spare, stage, table
 from corvane.llm.textkernel import SPACE, WORD, Scan, doc_shingles
-from corvane.llm.toxicity import best_threshold
+from corvane.llm.toxicity import best_threshold, in_chunks
 
 SAMPLE = 8000
 _tables: dict[str, np.ndarray] = {}
@@ -107,7 +107,7 @@ def train(sample: list[tuple[str, int]], ridge: float = 1.0) -> Logistic | None:
     y = np.array([b for _, b in sample], float)
     if len(set(y)) < 2:
         return None
-    x = np.concatenate([measures(pa.array([t for t, _ in sample[lo : lo + 256]], pa.string())) for lo in range(0, len(sample), 256)])
+    x = np.concatenate([measures(pa.array(texts, pa.string())) for _, texts in in_chunks([t for t, _ in sample])])
     model = Logistic(x.mean(0), x.std(0) + 1e-6, np.zeros(x.shape[1] + 1))
     z = np.column_stack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones(len(x))])
     w = model.weights

@@ -197,7 +197,7 @@ class Network:
         return out, np.bincount(doc, minlength=scan.n_docs)
 
 
-def _in_chunks(texts: list[str], budget: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def in_chunks(texts: list[str], budget: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) of about `budget` characters each."""
     lo = 0
     while lo < len(texts):
@@ -279,7 +279,7 @@ def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, r
 
     counted = np.flatnonzero(part < 2)
     words, chars = _Surplus(1 << WORD_BITS), _Surplus(1 << CHAR_BITS)
-    for lo, texts in _in_chunks(of(counted)):
+    for lo, texts in in_chunks(of(counted)):
         scan = Scan(pa.array(texts, pa.string()))
         if not len(scan.ws):
             continue
@@ -298,7 +298,7 @@ def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, r
     sq = np.full(len(net.words), 1e-4, np.float32)
     step = 0
     for epoch in range(epochs):
-        found = [f for lo, texts in _in_chunks(of(own)) if (f := _choose(net, texts, y[own[lo : lo + len(texts)]], rng, epoch > 0))]
+        found = [f for lo, texts in in_chunks(of(own)) if (f := _choose(net, texts, y[own[lo : lo + len(texts)]], rng, epoch > 0))]
         if not found:
             return None
         shift = np.cumsum([0, *[len(f["word"]) for f in found]])
@@ -325,7 +325,7 @@ def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, r
     held = np.flatnonzero(part == 4)
     if not (y[held] > 0).any():
         held = own
-    s = np.concatenate([net.doc_scores(pa.array(texts, pa.string()))[0] for _, texts in _in_chunks(of(held))])
+    s = np.concatenate([net.doc_scores(pa.array(texts, pa.string()))[0] for _, texts in in_chunks(of(held))])
     net.threshold = best_threshold(s, y[held])
     return net
 
