@@ -1,15 +1,17 @@
-"""Shared-folder staging and row helpers used by every operator of this folder."""
+"""Row helpers used by every operator of this folder; staging is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.staging import release, shared_folder, stage
+
+__all__ = ["labelled_sample", "pieces", "release", "shared_folder", "spare", "stage", "table"]
+
 CHUNK_BYTES = 1 << 20
 
 
@@ -17,31 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for cut lineage; a temporary one only where none is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it again; survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corvane-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def release(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that no later plan reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: str, budget: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a piece holds about `budget` bytes of `column` (one long row is a piece)."""
     import numpy as np
