@@ -6,6 +6,8 @@ normalisation, which Spark SQL lacks and an Arrow UDF supplies.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,9 +19,18 @@ HAN = r"[\x{4E00}-\x{9FFF}]"
 HAN_WIDE = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]"
 
 
+#: What counts as white space in any script (as in Python's str.strip).
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """White space of any script off both ends (trim() takes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once however often then refers to it."""
+    return F.transform(F.array(value), then)[0]
 
 
 @F.pandas_udf(T.StringType())
@@ -176,9 +187,11 @@ def section_extract(lines: Column, heading: Column) -> Column:
     """TXT-24: from the named heading to the next of its level or higher; lines is an array. Null if there is none."""
     level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1))
     title = lambda x: F.lower(strip(F.regexp_replace(x, r"^#{1,6}\s+", "")))
-    at = F.array_position(F.transform(lines, lambda x: (level(x) > 0) & (title(x) == F.lower(strip(heading)))), True)
-    own = level(F.get(lines, (at - 1).cast("int")))
-    rest = F.slice(lines, at.cast("int") + 1, F.size(lines))
-    stop = F.array_position(F.transform(rest, lambda x: (level(x) > 0) & (level(x) <= own)), True)
-    taken = F.when(stop > 0, F.slice(rest, F.lit(1), stop.cast("int") - 1)).otherwise(rest)
-    return F.when(at > 0, F.array_join(F.concat(F.array(F.get(lines, (at - 1).cast("int"))), taken), "\n"))
+
+    def cut(ls: Column, at: Column) -> Column:
+        rest, own = F.slice(ls, at + 1, F.size(ls)), level(F.get(ls, at - 1))
+        ends = lambda r: bound(F.array_position(F.transform(r, lambda x: level(x).between(1, own)), True).cast("int"), lambda stop: F.when(stop > 0, F.slice(r, F.lit(1), stop - 1)).otherwise(r))
+        return F.array_join(F.concat(F.array(F.get(ls, at - 1)), bound(rest, ends)), "\n")
+
+    here = lambda ls: F.array_position(F.transform(ls, lambda x: (level(x) > 0) & (title(x) == F.lower(strip(heading)))), True).cast("int")
+    return bound(lines, lambda ls: bound(here(ls), lambda at: F.when(at > 0, cut(ls, at))))

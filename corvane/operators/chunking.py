@@ -6,6 +6,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -326,13 +327,14 @@ def longform_parents(files: DataFrame, count: Counter = count_tokens) -> DataFra
     """TXT-6..13 over files (file, content, mtime): a map, as every file is a row; no shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted = lru_cache(maxsize=4096)(count)  # a section is weighed several times by the rules
         for f in frames:
             out = []
             for file, content, mtime in zip(f["file"], f["content"], f["mtime"], strict=True):
                 parts = file.split("/")
                 book = parts[0] if len(parts) > 1 else "misc"
                 stem = re.sub(r"\.md$", "", parts[-1]).replace("_", " ")
-                out += [p | {"mtime": mtime} for p in parents_of(content or "", file=file, book=book, chapter=stem, count=count)]
+                out += [p | {"mtime": mtime} for p in parents_of(content or "", file=file, book=book, chapter=stem, count=counted)]
             yield _rows(_PARENT, out)
 
     df = files.select("file", "content", F.col("mtime").cast("double").alias("mtime")).mapInPandas(run, _PARENT)
@@ -344,10 +346,11 @@ def longform_children(parents: DataFrame, count: Counter = count_tokens) -> Data
     need = [c.split()[0] for c in _PARENT.split(", ") if c.split()[0] != "token_count"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted = lru_cache(maxsize=4096)(count)
         for f in frames:
             out = []
             for p in f.to_dict("records"):
-                out += [c | {"mtime": p["mtime"]} for c in children_of(p, count)]
+                out += [c | {"mtime": p["mtime"]} for c in children_of(p, counted)]
             yield _rows(_CHILDREN, out)
 
     df = parents.select(*need).mapInPandas(run, _CHILDREN)
