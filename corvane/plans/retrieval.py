@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import context, dedup, scoring, stats, vector
+from corvane.session import reach_workers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,7 @@ def query(sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -14,4 +17,14 @@ def session(master: str | None = None, *, name: str = "corvane", shuffle_partiti
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    reach_workers(spark)
+    return spark
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, unless it was shipped to them otherwise."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
