@@ -12,7 +12,7 @@ from corvane.sources.staging import release, shared_folder, stage
 
 __all__ = ["labelled_sample", "pieces", "release", "shared_folder", "spare", "stage", "table"]
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
