@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import reach_workers
 from corvane.sources.staging import release, shared_folder, stage
 
-__all__ = ["labelled_sample", "pieces", "release", "shared_folder", "spare", "stage", "table"]
+__all__ = ["fit_in_task", "labelled_sample", "pieces", "release", "shared_folder", "spare", "stage", "table"]
 
 CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,8 +48,8 @@ def spare(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, text: str = "text") -> list[tuple[str, int]]:
-    """At most `bound` labelled texts, by hash order of doc_id (a uniform sample that no file order moves).
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, text: str = "text") -> DataFrame:
+    """(t, y): at most `bound` labelled texts, by hash order of doc_id (a uniform sample that no file order moves), in one partition.
 
     Rows with a null id, label or text are left out; a repeated id counts once.
     """
@@ -57,7 +61,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int,
     # the sample is bounded by a parameter, so its broadcast does not grow with the corpus
     rows = (
         docs.select("doc_id", F.col(text).alias("t__")).where(F.col("t__").isNotNull())
-        .join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("t__").alias("t__"), F.max("y__").alias("y__"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+        .join(F.broadcast(pick), "doc_id").groupBy("doc_id").agg(F.min("t__").alias("t"), F.max("y__").alias("y"))
     )
-    return [(r["t__"], r["y__"]) for r in rows]
+    return rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("t", "y")
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[tuple]], Any]) -> Any:
+    """fit(rows of the one-partition sample), run as a task: the driver gets the model, not the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    row = sample.mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([])  # an empty sample may leave no task to run

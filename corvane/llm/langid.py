@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import pieces, table
+from corvane.llm.common import fit_in_task, pieces, table
 from corvane.llm.textkernel import Scan, mix
 from corvane.llm.toxicity import in_chunks
 
@@ -128,8 +128,8 @@ class Filters:
 def fit(docs: DataFrame, *, bound: int = SAMPLE, text: str = "text", lang: str = "lang") -> Filters | None:
     labelled = docs.select(F.col("doc_id").alias("id__"), F.col(text).alias("t"), F.col(lang).alias("l")).where("id__ IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
     pick = labelled.select(F.col("id__").alias("pick__")).distinct().orderBy(F.xxhash64("pick__"), "pick__").limit(bound)
-    rows = labelled.join(F.broadcast(pick), F.col("id__") == F.col("pick__")).select("t", "l").collect()
-    return Filters.build([(r["t"], r["l"]) for r in rows])
+    sample = labelled.join(F.broadcast(pick), F.col("id__") == F.col("pick__")).repartition(1).sortWithinPartitions(F.xxhash64("id__"), "id__", "t").select("t", "l")
+    return fit_in_task(sample, Filters.build)
 
 
 def identify(docs: DataFrame, filters: Filters | None, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import labelled_sample, pieces, spare, stage, table
+from corvane.llm.common import fit_in_task, labelled_sample, pieces, spare, stage, table
 from corvane.llm.textkernel import SPACE, WORD, Scan, doc_shingles
 from corvane.llm.toxicity import best_threshold, in_chunks
 
@@ -204,7 +204,7 @@ def score_documents(
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, bound: int = SAMPLE, text: str = "text") -> Logistic | None:
-    return train(labelled_sample(docs, labels, "quality", bound, text))
+    return fit_in_task(labelled_sample(docs, labels, "quality", bound, text), train)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

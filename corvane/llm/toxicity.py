@@ -15,7 +15,8 @@ multiple-instance: of a toxic text only its highest windows are positive, and
 they are chosen again in every epoch.
 
 The sample is at most `bound` labelled texts, by hash order of doc_id; it is a
-parameter and does not grow with the corpus, nor does the broadcast model.
+parameter and does not grow with the corpus, nor does the broadcast model. The
+network is trained in one task.
 Scoring is one map over the documents, without a shuffle.
 
 Defined cases: null and empty texts, and texts without words, have no window,
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import labelled_sample, pieces, spare, table
+from corvane.llm.common import fit_in_task, labelled_sample, pieces, spare, table
 from corvane.llm.textkernel import Scan, mix
 
 WINDOW, STRIDE = 32, 16
@@ -346,7 +347,7 @@ def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, bound: int = SAMPLE, text: str = "text") -> Network | None:
-    return train(labelled_sample(docs, labels, "toxic", bound, text))
+    return fit_in_task(labelled_sample(docs, labels, "toxic", bound, text), train)
 
 
 def score_documents(docs: DataFrame, net: Network | None, *, text: str = "text", names: tuple[str, str, str] = ("toxicity", "n_windows", "toxic")) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corvane.llm import langid, quality, textkernel, toxicity
+from corvane.llm import common, langid, quality, textkernel, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -89,7 +89,7 @@ def test_toxicity_frames(spark, net):
     assert {300, 301, 302} <= set(ids) and not {303, 304} & set(ids)
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
-    assert len(toxicity.fit and __import__("corvane.llm.common", fromlist=["x"]).labelled_sample(docs, labels, "toxic", 50)) == 50
+    assert common.labelled_sample(docs, labels, "toxic", 50).count() == 50
 
 
 def quality_rows(n, seed):
