@@ -32,7 +32,9 @@ def test_scores_cover_every_document(spark):
 
 def test_pipeline_stages(spark):
     import corpus_pipeline
+    from corvane.llm import common, mixing
     from tests.llm.test_dedup_decontam import brute_decontaminate, brute_groups
+    from tests.llm.test_tables import brute_mix
 
     sf = str(DATA / "sf0.001")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -42,10 +44,12 @@ def test_pipeline_stages(spark):
         out = step(spark, docs, sf)
         if name == "mixing":
             assert set(names) < set(out.columns)
-            assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}
+            want = brute_mix([(r.doc_id, r.text, r.source) for r in docs.collect()], mixing.SCHEDULE)
+            have = {(r.doc_id, r.epoch): r.position for r in out.collect()}
+            assert set(have) == set(want) and all(have[k] == pytest.approx(want[k], abs=1e-3) for k in want)
             break
         assert out.columns == names
-        kept, _ = __import__("corvane.llm.common", fromlist=["stage"]).stage(out, "test")
+        kept, _ = common.stage(out, "test")
         before = [(r.doc_id, r.text) for r in docs.collect()]
         after = {r.doc_id: r.text for r in kept.collect()}
         if name == "near_dedup":
