@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WIKI_LINK = r"\[\[([^\]|#]+?)(?:#[^\]|]*)?(?:\|[^\]]+?)?\]\]"
-WIKI_LINK_WITH_HEADING = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
+WIKI_LINK = r"\[{2}([^#|\]]+?)(?:#[^|\]]*)?(?:[|][^\]]+?)?\]{2}"
+WIKI_LINK_WITH_HEADING = r"\[{2}([^|\]]+)(?:[|][^\]]*)?\]{2}"
 HAN = r"[\x{4E00}-\x{9FFF}]"
 HAN_WIDE = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]"
 
@@ -104,11 +104,11 @@ def top_folder(rel_path: Column) -> Column:
 
 def figure_ids(c: Column) -> Column:
     """TXT-21: distinct figure names in order, "Figure 32.4" written as "Fig 32-4"."""
-    latin = F.regexp_extract_all(c, F.lit(r"(?i)\b(?:Fig(?:ure)?\.?\s*\d+[-.]\d+\w?)"), F.lit(0))
-    han = F.regexp_extract_all(c, F.lit(r"圖\s*\d+[-.]\d+\w?"), F.lit(0))
+    latin = F.regexp_extract_all(c, F.lit(r"(?i)\bfig(?:[.]|ure[.]?)?\s*\d+[.-]\d+\w?"), F.lit(0))
+    han = F.regexp_extract_all(c, F.lit(r"圖\s*\d+[.-]\d+\w?"), F.lit(0))
     plain = F.transform(
         F.concat(latin, han),
-        lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\bfig(?:ure)?\.?\s*", "Fig "), r"(\d)\.(\d)", "$1-$2"),
+        lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\bfig(?:[.]|ure[.]?)?\s*", "Fig "), r"(\d)\.(\d)", "$1-$2"),
     )
     return F.array_sort(F.array_distinct(F.transform(plain, strip)))
 
@@ -149,6 +149,8 @@ def token_estimate(c: Column) -> Column:
     return F.floor(F.regexp_count(c, F.lit(HAN_WIDE)) * 1.5 + words * 0.25).cast("long")
 
 
+#: Where a cut text may end, in order of preference.
+SEPARATORS = (*"。！？", *".!?", "\n\n", "\n")
 TOKEN = r"[\x{4E00}-\x{9FFF}]|[^\W\x{4E00}-\x{9FFF}]+|[^\w\s]"
 
 
@@ -162,7 +164,7 @@ def truncate_tokens(c: Column, most: Column | int) -> Column:
     n = most if isinstance(most, Column) else F.lit(most)
     cut = F.array_join(F.slice(F.regexp_extract_all(c, F.lit(rf"(?U)\s*(?:{TOKEN})"), F.lit(0)), F.lit(1), n), "")
     tries = []
-    for sep in ("。", "！", "？", ".", "!", "?", "\n\n", "\n"):
+    for sep in SEPARATORS:
         place = F.length(cut) - F.instr(F.reverse(cut), sep[::-1]) - len(sep) + 1  # 0-based place of the last one
         tries.append(F.when((F.instr(cut, sep) > 0) & (place > F.length(cut) * 0.7), F.substring(cut, F.lit(1), place + len(sep))))
     return F.when(token_count(c) <= n, c).otherwise(F.coalesce(*tries, cut))

@@ -43,10 +43,10 @@ def note_chunks(notes: DataFrame, *, cut: int = 4000) -> DataFrame:
 def page_lines(files: DataFrame, *, content: str = "content") -> DataFrame:
     """TXT-6, WIN-7: (file, line_no, line, page, level, heading); a page mark sets the page from its line on and is blanked."""
     lines = files.select("file", F.posexplode(F.split(content, "\n")).alias("line_no", "raw"))
-    mark = F.regexp_extract("raw", r"<!--\s*page\s+(\d+)\s*-->", 1)
+    mark = F.regexp_extract("raw", r"<!--\s*page\s+([0-9]+)\s*-->", 1)
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     page = F.coalesce(F.last(F.when(mark != "", mark.cast("int")), ignorenulls=True).over(w), F.lit(0))
-    head = r"^(#{1,6})\s+(.+)$"
+    head = r"^(?:(#{1,6}))\s+(.+)$"
     level = F.length(F.regexp_extract("raw", head, 1))
     return lines.select(
         "file", "line_no", F.when(mark != "", F.lit("")).otherwise(F.col("raw")).alias("line"), page.alias("page"),
@@ -80,7 +80,7 @@ def pack_paragraphs(text: str, target: int, count: Counter) -> list[str]:
     """TXT-9: paragraphs filled up to the target."""
     packed: list[str] = []
     size = 0
-    for p in (q.strip() for q in re.split(r"\n\n+", text)):
+    for p in map(str.strip, re.split(r"\n{2,}", text)):
         if not p:
             continue
         n = count(p)
@@ -102,10 +102,10 @@ class _File:
         self.heads: list[tuple[int, int, str]] = []  # (line, level, text)
         page = 0
         for i, raw in enumerate(content.split("\n")):
-            m = re.search(r"<!--\s*page\s+(\d+)\s*-->", raw)
+            m = re.search(r"<!--\s*page\s+([0-9]+)\s*-->", raw)
             if m:
                 page = int(m[1])
-            elif (h := re.match(r"^(#{1,6})\s+(.+)$", raw)) and len(h[1]) <= 3:
+            elif (h := re.match(r"(?:(#{1,6}))\s+(.+)$", raw)) and len(h[1]) <= 3:
                 self.heads.append((i, len(h[1]), h[2].strip()))
             self.lines.append("" if m else raw)
             self.pages.append(page)
@@ -204,11 +204,10 @@ def _finish(sections: list[dict], *, file: str, book: str, chapter: str, count:
             continue
         raw = " > ".join(s["path"])
         key = "|".join((book, file, chapter or "", s["h2"], s["h3"], str(s["p0"]), str(k), s["origin"]))
-        rows.append({
-            "parent_id": hashlib.md5(key.encode("utf-8", "replace")).hexdigest(), "text": text, "file": file, "book": book, "chapter": chapter,
-            "section_path": re.sub(r"\s+", " ", unicodedata.normalize("NFKC", raw)).strip(), "section_path_raw": raw,
-            "page_start": s["p0"], "page_end": s["p1"], "token_count": n, "heading_origin": s["origin"],
-        })
+        rows.append(dict(
+            parent_id=hashlib.md5(key.encode("utf-8", "replace")).hexdigest(), heading_origin=s["origin"], token_count=n, page_end=s["p1"], page_start=s["p0"],
+            section_path_raw=raw, section_path=re.sub(r"\s+", " ", unicodedata.normalize("NFKC", raw)).strip(), chapter=chapter, book=book, file=file, text=text,
+        ))
     return rows
 
 
@@ -219,7 +218,7 @@ _SHORT_FORMS = frozenset(
 
 def sentences(text: str) -> list[str]:
     """TXT-14: sentence ends of Han and Latin script; a piece that ends in a short form takes the next one to it, once."""
-    cut = [s.strip() for z in re.split(r"(?<=[。！？；])", text) if z for s in re.split(r"(?<=[.!?])\s+(?=[A-Z一-鿿])", z) if s.strip()]
+    cut = [s.strip() for z in re.split(r"(?<=[。！？；])", text) if z for s in re.split(r"(?<=[?.!])\s+(?=[一-鿿A-Z])", z) if s.strip()]
     out, joined = [], False
     for s in cut:
         if out and not joined and out[-1].split()[-1] in _SHORT_FORMS:
@@ -232,11 +231,9 @@ def sentences(text: str) -> list[str]:
 
 def split_children(text: str, count: Counter, *, target: int = CHILD, overlap: int = OVERLAP) -> list[tuple[str, int]]:
     """TXT-15: (text, tokens) pieces of the coarsest units that divide the text, each begun with the end of the one before."""
-    if not text.strip():
-        return []
-    if count(text) <= target:
-        return [(text, count(text))]
-    paragraphs, lines = re.split(r"\n\n+", text), text.split("\n")
+    if (whole := count(text)) <= target:
+        return [(text, whole)] if text.strip() else []
+    lines, paragraphs = text.split("\n"), re.split(r"\n{2,}", text)
     units = next((u for u in (paragraphs, lines, sentences(text), text.split()) if len(u) > 1), list(text))
     in_paragraphs, in_lines = set(paragraphs), set(lines)
     out: list[tuple[str, int]] = []
@@ -247,7 +244,8 @@ def split_children(text: str, count: Counter, *, target: int = CHILD, overlap: i
             out.append((held, size))
             if overlap > 0:
                 tail = " ".join(held.split()[-max(1, overlap // 2) :])
-                held = tail + ("\n" if "\n" in u else " ") + u
+                between = " " if u.find("\n") < 0 else "\n"
+                held = f"{tail}{between}{u}"
                 size = count(held)
             else:
                 held, size = u, n
@@ -310,7 +308,7 @@ def children_of(parent: dict, count: Counter = count_tokens) -> list[dict]:
         tokens = n or count(lead + t)
         if tokens < LEAST:
             continue
-        same = {c: parent[c] for c in ("parent_id", "file", "book", "chapter", "section_path", "section_path_raw", "page_start", "page_end", "heading_origin")}
+        same = {c: parent[c] for c in "file book chapter page_start page_end parent_id heading_origin section_path section_path_raw".split()}
         rows.append({"id": hashlib.md5(f"{parent['file']}|{parent['parent_id']}|{k}".encode()).hexdigest(), "text": lead + t, "body": t, "chunk_kind": kind, "chunk_idx": k, "n_siblings": len(pieces), "token_count": tokens} | same)
     return rows
 

@@ -84,7 +84,7 @@ def wiki(spark, sf_dir) -> DataFrame:
 
 
 @query(rf"""WITH t AS (SELECT 'd' || doc_id AS src, {WIKI} AS content FROM documents),
-l AS (SELECT src, trim(unnest(regexp_extract_all(content, '\[\[([^\]|#]+?)(?:#[^\]|]*)?(?:\|[^\]]+?)?\]\]', 1))) AS dst FROM t)
+l AS (SELECT src, trim(unnest(regexp_extract_all(content, '\[{{2}}([^#|\]]+?)(?:#[^|\]]*)?(?:[|][^\]]+?)?\]{{2}}', 1))) AS dst FROM t)
 SELECT DISTINCT src, dst FROM l WHERE dst <> '' AND dst <> src""")
 def wikilinks(spark, sf_dir):
     """TXT-22, GRF-1."""

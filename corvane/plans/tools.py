@@ -84,12 +84,16 @@ def call(corpus: Corpus, name: str, arguments: dict) -> str:
     return run(corpus, arguments)
 
 
+def _reply(number, **outcome) -> str:
+    return json.dumps(dict(jsonrpc="2.0", id=number) | outcome, ensure_ascii=False)
+
+
 def answer(corpus: Corpus, line: str) -> str | None:
     """One JSON-RPC request (initialize, tools/list, tools/call, ping); notifications have no answer."""
     try:
         r = json.loads(line)
     except ValueError:
-        return json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not JSON"}})
+        return _reply(None, error=dict(code=-32700, message="not JSON"))
     method, params = r.get("method"), r.get("params") or {}
     if "id" not in r:
         return None
@@ -99,14 +103,15 @@ def answer(corpus: Corpus, line: str) -> str | None:
         elif method == "ping":
             result = {}
         elif method == "tools/list":
-            result = {"tools": [{"name": k, "inputSchema": {"type": "object", "properties": {x: {} for x in [*need, *may]}, "required": need}} for k, (_, need, may) in TOOLS.items()]}
+            result = {"tools": [{"name": k, "inputSchema": dict(required=need, properties={x: {} for x in [*need, *may]}, type="object")} for k, (_, need, may) in TOOLS.items()]}
         elif method == "tools/call":
-            result = {"content": [{"type": "text", "text": call(corpus, params.get("name", ""), params.get("arguments") or {})}]}
+            said = call(corpus, params.get("name", ""), params.get("arguments") or {})
+            result = dict(content=[dict(text=said, type="text")])
         else:
-            return json.dumps({"jsonrpc": "2.0", "id": r["id"], "error": {"code": -32601, "message": f"no method {method}"}})
+            return _reply(r["id"], error=dict(code=-32601, message=f"no method {method}"))
     except (KeyError, ValueError, FileNotFoundError) as e:
-        return json.dumps({"jsonrpc": "2.0", "id": r["id"], "error": {"code": -32602, "message": str(e)}})
-    return json.dumps({"jsonrpc": "2.0", "id": r["id"], "result": result}, ensure_ascii=False)
+        return _reply(r["id"], error=dict(code=-32602, message=str(e)))
+    return _reply(r["id"], result=result)
 
 
 def serve(corpus: Corpus, lines: Iterable[str]) -> Iterator[str]:
@@ -125,8 +130,8 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=main.__doc__)
     p.add_argument("what", choices=["index", "longform", "graph", "resolve", "stats", "bridges", "serve"])
     p.add_argument("note", nargs="?")
-    p.add_argument("--incremental", action="store_true")
     p.add_argument("--book")
+    p.add_argument("--incremental", default=False, action="store_true")
     a = p.parse_args(argv)
     corpus = Corpus(session(), Settings.from_env())
     if a.what == "serve":

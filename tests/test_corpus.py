@@ -52,7 +52,7 @@ def test_incremental(corpus):
 
 def test_tools(corpus):
     c, _ = corpus
-    rpc = lambda method, **params: json.loads(tools.answer(c, json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})))
+    rpc = lambda method, **params: json.loads(tools.answer(c, json.dumps(dict(id=1, method=method, params=params))))
     call = lambda name, **a: rpc("tools/call", name=name, arguments=a)["result"]["content"][0]["text"]
     assert {t["name"] for t in rpc("tools/list")["result"]["tools"]} == set(tools.TOOLS)
     assert rpc("initialize")["result"]["serverInfo"]["name"] == "corvane" and rpc("ping")["result"] == {}

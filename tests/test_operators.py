@@ -68,7 +68,7 @@ def test_snapshots(spark, tmp_path):
     t = snapshots.SnapshotTable(spark, str(tmp_path / "t"))
     row = lambda f, v: [(f"{f}{i}", f, v) for i in range(3)]
     make = lambda rows: spark.createDataFrame(rows, "id string, file string, v int")
-    for f in ("a.md", "b.md", "it's.md", "d.md", "e.md"):
+    for f in "a.md b.md it's.md d.md e.md".split():
         t.append(make(row(f, 0)))
     for v in range(1, 5):
         t.upsert(make(row("a.md", v)))
@@ -117,7 +117,7 @@ def test_text_functions(spark):
             want = v
             if len(toks) > most:
                 want = v[: toks[most - 1]]
-                for sep in ("。", "！", "？", ".", "!", "?", "\n\n", "\n"):
+                for sep in tx.SEPARATORS:
                     if (k := want.rfind(sep)) > 0.7 * len(want):
                         want = want[: k + len(sep)]
                         break
@@ -254,7 +254,7 @@ def test_longform_rules():
 
 
 def test_children_rules():
-    parent = dict.fromkeys(("parent_id", "file", "book", "chapter", "section_path", "section_path_raw", "heading_origin"), "p") | {"page_start": 1, "page_end": 2}
+    parent = dict.fromkeys("file book chapter parent_id heading_origin section_path section_path_raw".split(), "p") | {"page_start": 1, "page_end": 2}
     kids = chunking.children_of(parent | {"text": "\n\n".join(" ".join([f"w{i}"] * 200) for i in range(8))})
     assert all(k["n_siblings"] == len(kids) and k["text"].startswith("[p — p > p]\n") for k in kids) and [k["chunk_idx"] for k in kids] == list(range(len(kids)))
     assert kids[1]["text"].split("\n", 1)[1].startswith(" ".join(["w1"] * 37))  # half the overlap, in words
