@@ -302,7 +302,8 @@ def children_of(parent: dict, count: Counter = count_tokens) -> list[dict]:
             else:
                 glued.append([t, n])
         pieces = [(t, classify(t), n) for t, n in glued]
-    lead = f"[{parent['book']} — {parent['chapter']}" + (f" > {parent['section_path']}" if parent["section_path"] else "") + "]\n"
+    place = " — ".join((parent["book"], parent["chapter"]))
+    lead = "[" + " > ".join(x for x in (place, parent["section_path"]) if x) + "]\n"
     rows = []
     for k, (t, kind, n) in enumerate(pieces):
         tokens = n or count(lead + t)
