@@ -5,12 +5,13 @@ and the last bytes of 128 more.
 Several independent trees branch the documents: a node of a tree picks `branches`
 coordinates, and a document goes on to the child named by its own minwise value
 at each. Nodes of at most `leaf` documents are compared exhaustively; larger ones
-branch again, at other coordinates, until they are small, stop shrinking (their
-documents are alike throughout) or reach the last level, where they are compared
-exhaustively too, whatever their size. For a pair of similarity J one tree finds
-the pair at depth d with probability f(d) = 1 - (1 - J f(d-1))^branches, f(0) = 1;
-`trees_for` repeats trees until 1 - (1 - f)^trees reaches the target recall at
-the threshold.
+branch again, each at coordinates of its own that its path has not used, until
+they are small, stop shrinking (their documents are alike throughout) or reach
+the last level, where they are compared exhaustively too, whatever their size.
+All trees share the 64 coordinates: a pair of similarity J agrees on a of them, a
+binomial number, and given a, a tree brings the pair to depth d with probability
+f(d, a) (`_given`). `trees_for` adds trees until the mean of 1 - (1 - f)^trees over
+a reaches the target recall at the threshold and at the last level's depth.
 
 Sketches only propose. Pairs well above the threshold (three standard errors)
 link at once; pairs within three standard errors of it are decided by the exact
@@ -20,7 +21,7 @@ them. Groups are the connected components of the links.
 Scale: texts are read once for sketches (and once more, for the undecided pairs
 alone, by a semi-join). Exact copies collapse first, by a 128-bit hash of their
 words, so that a thousand copies cost one sketch. What is shuffled per level is
-(node, id) rows of 24 bytes; sketches travel only for nodes of two or more.
+(node, id) rows of 32 bytes; sketches travel only for nodes of two or more.
 
 Defined cases: null and empty texts, and texts without words, have no shingles
 and belong to no group. A text shorter than a shingle is one shingle of all its
@@ -33,10 +34,12 @@ have one outcome. Extra columns are ignored by `near_groups` and pass through
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import pieces, release, spare, stage
@@ -44,23 +47,32 @@ from corvane.llm.textkernel import Scan, doc_shingles, mix
 
 COORDS, BYTES = 64, 128  # minwise values kept whole, for branching, and as their last byte, to estimate similarity
 LEVELS = 9
-_ROOT, _BLOCK = 24, 5  # coordinates that the root picks from, and each further level
 _MULT = (mix(np.arange(1, COORDS + BYTES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 MAX_BROADCAST_IDS = 4_000_000  # ids of undecided documents that are broadcast; more are joined by a shuffle of the texts
 _WIDTH = COORDS + BYTES // 4  # 32-bit columns of a sketch
 
 
-def survival(j: float, branches: int, depth: int) -> float:
-    """Chance that one tree brings a pair of similarity j together at the given depth."""
-    f = 1.0
-    for _ in range(depth):
-        f = 1 - (1 - j * f) ** branches
-    return f
+@cache
+def _given(agree: int, coords: int, branches: int, depth: int) -> float:
+    """Chance that one tree brings a pair together at the given depth, if it agrees on `agree` of `coords` unused coordinates."""
+    if not depth:
+        return 1.0
+    if not agree:
+        return 0.0
+    f = _given(agree - 1, coords - 1, branches, depth - 1)
+    picks = range(max(0, branches - coords + agree), min(agree, branches) + 1)
+    return sum(comb(agree, i) * comb(coords - agree, branches - i) * (1 - (1 - f) ** i) for i in picks) / comb(coords, branches)
 
 
-def trees_for(j: float, branches: int, recall: float, depth: int = 3) -> int:
-    f, n = survival(j, branches, depth), 1
-    while 1 - (1 - f) ** n < recall:
+def survival(j: float, branches: int, depth: int, trees: int = 1) -> float:
+    """Chance that at least one of the trees brings a pair of similarity j together at the given depth."""
+    chance = [comb(COORDS, a) * j**a * (1 - j) ** (COORDS - a) for a in range(COORDS + 1)]
+    return sum(p * (1 - (1 - _given(a, COORDS, branches, depth)) ** trees) for a, p in enumerate(chance))
+
+
+def trees_for(j: float, branches: int, recall: float, depth: int = LEVELS) -> int:
+    n = 1
+    while survival(j, branches, depth, n) < recall:
         n += 1
     return n
 
@@ -96,18 +108,27 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
 
 
 def _children(df: DataFrame, level: int, branches: int) -> DataFrame:
-    """Each (node, parent count, id, sig) row at its children; the node picks `branches` coordinates of its level's own.
+    """Each (node, n, used, id, sig) row at its node's children, with the parent's count and the coordinates used so far, as bits.
 
-    Roots take turns, so that up to _ROOT / branches trees begin with coordinates of their own.
+    A root takes the coordinates whose turn it is, so that the first COORDS / branches trees begin with coordinates of
+    their own. Any other node takes one of each part of those that its path has not used, by its own hash.
     """
-    slot = F.explode(F.array(*[F.lit(j) for j in range(branches)])).alias("slot")
-    at = df.select("node", "n", "id", "sig", slot)
+    slots = F.array(*[F.lit(j) for j in range(branches)])
     if level:
-        coord = F.pmod(F.pmod(F.xxhash64("node"), F.lit(_BLOCK)) + F.col("slot") * (_BLOCK // branches), F.lit(_BLOCK)) + _ROOT + (level - 1) * _BLOCK
+        part = (COORDS - level) // branches
+        unused = F.filter(F.array(*[F.lit(c) for c in range(COORDS)]), lambda c: F.col("used").bitwiseAND(_bit(c)) == 0)
+        df = df.withColumn("unused", unused)
+        coord = F.get("unused", F.col("slot") * part + F.pmod(F.xxhash64("node", "slot"), F.lit(part)).cast("int"))
     else:
-        coord = F.pmod(F.col("node") * branches + F.col("slot"), F.lit(_ROOT))
-    coord = coord.cast("int")
-    return at.select(F.col("id"), F.xxhash64("node", coord, F.get("sig", coord)).alias("node"), F.col("n").alias("parent"))
+        df = df.withColumn("unused", F.lit(None))
+        coord = F.pmod(F.col("node") * branches + F.col("slot"), F.lit(COORDS)).cast("int")
+    at = df.select("node", "n", "used", "id", "sig", "unused", F.explode(slots).alias("slot")).select("node", "n", "used", "id", "sig", coord.alias("coord"))
+    child = F.xxhash64("node", "coord", F.get("sig", F.col("coord")))
+    return at.select("id", child.alias("node"), F.col("n").alias("parent"), F.col("used").bitwiseOR(_bit(F.col("coord"))).alias("used"))
+
+
+def _bit(c: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), c)
 
 
 def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure: float) -> Iterator[pa.RecordBatch]:
@@ -244,13 +265,13 @@ def near_groups(
     low, sure = threshold - margin, threshold + margin
     trees = trees_for(threshold, branches, recall)
     found, paths = [], []
-    root = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("n"), "id", "sig")
+    root = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("used"), "id", "sig")
     entries, pool = _children(root, 0, branches), reps.select("id", "sig")
     for level in range(LEVELS):
-        counts = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where("n > 1")
+        counts = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"), F.max("used").alias("used")).where("n > 1")
         final = F.lit(level == LEVELS - 1) | (F.col("n") <= leaf) | F.coalesce(F.col("n") * 10 > F.col("parent") * 7, F.lit(False))
-        live = entries.select("node", "id").join(counts.select("node", "n", final.alias("final")), "node")
-        with_sig, p = stage(live.join(pool, "id").select("node", "id", "n", "final", "sig"), "nodes")
+        live = entries.select("node", "id").join(counts.select("node", "n", "used", final.alias("final")), "node")
+        with_sig, p = stage(live.join(pool, "id").select("node", "id", "n", "used", "final", "sig"), "nodes")
         pairs = (
             with_sig.where("final").select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id")
             .mapInArrow(lambda it: compare_nodes(it, leaf, low, sure), "a long, b long, sim float")

@@ -100,6 +100,18 @@ def test_trees_reach_recall():
     assert 1 - (1 - chosen_path.survival(0.5, 3, 3)) ** n >= 0.99
 
 
+def test_deep_nodes_keep_recall(spark):
+    rng = random.Random(11)
+    passage, texts = words(rng, 62), []
+    for k in range(1000):  # all share the passage (J 0.3), each has one partner (J 0.52)
+        both = [f"p{k}x{i}" for i in range(27)]
+        texts += [(2 * k + s, " ".join([*passage, *both, *(f"q{k}x{s}x{i}" for i in range(41))])) for s in (0, 1)]
+    got = {r.doc_id: r.group_id for r in chosen_path.near_groups(docs_of(spark, texts), leaf=2).collect()}
+    assert sum(got.get(2 * k) == 2 * k == got.get(2 * k + 1) for k in range(1000)) >= 0.99 * 1000
+    n = chosen_path.trees_for(0.5, 3, 0.99)
+    assert chosen_path.survival(0.5, 3, chosen_path.LEVELS, n) >= 0.99
+
+
 def brute_decontaminate(texts, items, n=8, least=5, share=0.5):
     grams = set()
     for t in items:
