@@ -8,6 +8,8 @@ template repeats - are deleted; what is left is the page's own text.
 
 A page's text lines are its texts between block-level tags, entities decoded and
 white space collapsed, without scripts, styles, comments and the head.
+A head without an end tag before the body ends where its own elements (title, meta,
+link, base, script, style, noscript, template) do. An unclosed noscript drops its tag only.
 
 Where several subsequences are longest, the one is taken that the greedy walk from
 the front finds (each line is matched as early as keeps the length). A page that
@@ -41,7 +43,15 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import stage, table
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+_NOSCRIPT = r"<noscript\b[^>]*>(?:(?!<noscript\b).)*?</noscript\s*>"
+_TITLE = r"<title\b[^>]*>(?:(?!<title\b).)*?</title\s*>"
+_DROP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|" + _NOSCRIPT
+    # a head up to its end tag, if that comes before a body, or else as far as its own elements go
+    + r"|<head\b[^>]*>(?:(?:(?!<body\b|<head\b).)*?</head\s*>|(?:\s|<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*>.*?(?:</\2\s*>|\Z)|"
+    + _NOSCRIPT + "|" + _TITLE + r"|<(?:base|link|meta)\b[^>]*>)*)|<![^>]*>|<\?[^>]*>",
+    re.S | re.I,
+)
 _BLOCK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|button|caption|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|menu|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>",
     re.I,

@@ -104,6 +104,18 @@ def test_text_lines():
     assert len(html_diff.text_lines("<p>x</p>" * 50000)) == 50000
 
 
+def test_text_lines_of_unclosed_heads():
+    for own in ("<body><p>Own text", "<p>Own text", "<body class='a'><p>Own text</p></body>", "Own text"):
+        for head in ("<title>t</title>", "<meta charset=utf-8><title>t</title><style>p {}</style>\n<!-- c --><script>'<body>'</script>", "<noscript><link href=x></noscript>", ""):
+            assert html_diff.text_lines(f"<html><head>{head}{own}") == ["Own text"]
+            assert html_diff.text_lines(f"<html><head>{head}</head>{own}") == ["Own text"]
+    assert html_diff.text_lines("<head><title>t</title><x>in the head</x></head><body><p>Own text") == ["Own text"]
+    assert html_diff.text_lines("<body><p>a</p><noscript><p>Own text") == ["a", "Own text"]
+    assert html_diff.text_lines("<body><noscript>n</noscript><p>Own text<script>s") == ["Own text"]
+    assert html_diff.text_lines("<head><noscript><title>" * 20000 + "</noscript>") == []
+    assert html_diff.text_lines("<header><p>Own text</header>") == ["Own text"]
+
+
 def brute_pages(pages):
     import re
 
