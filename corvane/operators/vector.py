@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CELLS = 4_000_000  # distances of a batch that are held at once
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -84,14 +87,17 @@ def _nearest(queries: pa.Table, k: int, names: list[str], kind: T.StructField):
             if not len(fit):
                 continue
             x = np.array([vectors[i] for i in fit], np.float64)
-            size = np.sqrt(np.square(x).sum(1))[:, None] * scale
-            with np.errstate(invalid="ignore", divide="ignore"):
-                d = np.where(size > 0, 1 - (x @ q.T) / size, 1.0)
-            # ties at the k-th place all pass: the key decides later
-            last = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1]
-            i, j = np.nonzero(d <= last + 1e-11)
-            cols = [batch.column(c).take(pa.array(fit[i])) for c in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, qids.take(pa.array(j)), pa.array(d[i, j])], names=[*names, "qid", "distance"])
+            length, kth = np.sqrt(np.square(x).sum(1)), min(k, len(x)) - 1
+            step = max(1, CELLS // len(x))
+            for lo in range(0, len(q), step):
+                size = scale[lo : lo + step, None] * length
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    d = np.where(size > 0, 1 - (q[lo : lo + step] @ x.T) / size, 1.0)
+                # ties at the k-th place all pass: the key decides later
+                last = np.partition(d, kth, axis=1)[:, kth]
+                j, i = np.nonzero(d <= last[:, None] + 1e-11)
+                cols = [batch.column(c).take(pa.array(fit[i])) for c in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*cols, qids.take(pa.array(j + lo)), pa.array(d[j, i])], names=[*names, "qid", "distance"])
 
     return run
 

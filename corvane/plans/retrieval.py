@@ -84,6 +84,13 @@ def knn_many_queries(spark, sf_dir):
     return vector.top_k_many(c, q, 5).select("qid", "id", "rank")
 
 
+@query()
+def knn_every_row(spark, sf_dir):
+    """KNN-1 with every row as a query, itself among its neighbours."""
+    c = chunks(spark, sf_dir)
+    return vector.top_k_many(c.select("id", "vector"), c.select(F.col("id").alias("qid"), F.col("vector").alias("query")), 5).select("qid", "id", "rank")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS before, 1.0::DOUBLE AS after FROM embeddings")
 def vector_normalise(spark, sf_dir):
     """KNN-5."""
