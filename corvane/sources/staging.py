@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,19 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for cut lineage (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The cluster's folder for cut lineage (spark.checkpoint.dir).
+
+    Where it is unset, as in tests, a temporary folder will do for a single machine; on a cluster it would lie on one machine only.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
 def stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it again: (table, path). It survives the loss of any executor."""
+    """Write df to the shared folder and read it again: (table, path). It survives the loss of any executor.
+
+    What is not released before goes when the session ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/corvane-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def release(spark: SparkSession, *paths: str) -> None:
@@ -29,4 +41,6 @@ def release(spark: SparkSession, *paths: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        fs = p.getFileSystem(conf)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)

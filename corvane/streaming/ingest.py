@@ -20,33 +20,52 @@ def note_stream(spark: SparkSession, folder: str, *, files_per_batch: int = 50)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_batch)).parquet(folder)
 
 
-def ingest(stream: DataFrame, table: SnapshotTable, hashes: SnapshotTable, to_chunks: Callable[[DataFrame], DataFrame], checkpoint: str, *, complete: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """STR-1, STR-2, STR-4: each batch's new and modified notes replace their old chunks, and only then their hashes are recorded.
+ToChunks = Callable[[DataFrame], DataFrame]
 
-    The last row of a file within a batch (by mtime) wins. A file whose chunks did not all succeed (`complete` keeps
-    those that did) is not recorded, so that it comes again. Rows of a batch that is run twice are unchanged the
-    second time: upserts by key are idempotent.
-    """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("file").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "file"]), "mtime").alias("r")).select("file", "r.*")
-        now = latest.withColumn("hash", changes.content_hash(F.col("content"))).persist()
-        try:
-            if hashes.exists():
-                state = changes.detect(now, hashes.read(), value="hash").where(F.col("state").isin("new", "modified")).select("file")
-                fresh = now.join(state, "file", "left_semi")
-            else:
-                fresh = now
-            if fresh.isEmpty():
-                return
-            chunks = to_chunks(fresh.drop("hash"))
-            table.upsert(chunks, touched=fresh.select("file"))
-            done = fresh.select("file", "hash")
-            hashes.upsert(complete(done) if complete else done)
-        finally:
-            now.unpersist()
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def merge(batch: DataFrame, table: SnapshotTable, hashes: SnapshotTable, to_chunks: ToChunks, *, complete: ToChunks | None = None, retry: SnapshotTable | None = None) -> None:
+    """STR-1, STR-2, STR-4: the batch's new and modified notes replace their old chunks, and only then their hashes are recorded.
+
+    The last row of a file within a batch (by mtime) wins. A file is replaced as a whole or not at all: of the files (file, hash) that
+    `complete` leaves out, old chunks and hash stay as they were and the note goes to `retry`, whose notes are
+    part of every later batch until they succeed. Rows of a batch that is run twice are unchanged the second time: upserts by key are idempotent.
+    """
+    waiting = retry is not None and retry.exists()
+    if waiting:
+        batch = batch.unionByName(retry.read().select(*batch.columns))
+    latest = batch.groupBy("file").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "file"]), "mtime").alias("r")).select("file", "r.*")
+    now = latest.withColumn("hash", changes.content_hash(F.col("content"))).persist()
+    try:
+        fresh = now
+        if hashes.exists():
+            state = changes.detect(now, hashes.read(), value="hash").where(F.col("state").isin("new", "modified")).select("file")
+            fresh = now.join(state, "file", "left_semi")
+        if waiting:  # what is no longer fresh was written back as it had been
+            retry.prune(fresh.select("file"))
+        if fresh.isEmpty():
+            return
+        done = fresh.select("file", "hash")
+        if complete:
+            done = complete(done)
+        table.upsert(to_chunks(fresh.join(done.select("file"), "file", "left_semi").drop("hash")), touched=done.select("file"))
+        hashes.upsert(done)
+        if retry is not None:
+            failed = fresh.join(done.select("file"), "file", "left_anti").drop("hash")
+            retry.upsert(failed, touched=fresh.select("file"))
+    finally:
+        now.unpersist()
+
+
+def ingest(stream: DataFrame, table: SnapshotTable, hashes: SnapshotTable, to_chunks: ToChunks, checkpoint: str, *, complete: ToChunks | None = None, retry: SnapshotTable | None = None) -> StreamingQuery:
+    """STR-1, STR-3: `merge` for each batch of a stream. What failed in the last batch is taken up by the next run, or by `retry_failed`."""
+    step = lambda batch, _: merge(batch, table, hashes, to_chunks, complete=complete, retry=retry)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retry_failed(table: SnapshotTable, hashes: SnapshotTable, to_chunks: ToChunks, retry: SnapshotTable, *, complete: ToChunks | None = None) -> None:
+    """STR-4: the notes that failed, once more, without new ones."""
+    if retry.exists():
+        merge(retry.read().limit(0), table, hashes, to_chunks, complete=complete, retry=retry)
 
 
 def complete_files(parts: DataFrame) -> DataFrame:

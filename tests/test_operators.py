@@ -86,6 +86,51 @@ def test_snapshots(spark, tmp_path):
         snapshots.check_signature(make([("1", "f", 1)]).withColumn("indexing_signature", F.lit("other")), sig)
 
 
+def test_a_change_writes_what_changed(spark, tmp_path):
+    t = snapshots.SnapshotTable(spark, str(tmp_path / "t"))
+    rows = {f"f{k}": 0 for k in range(400)}
+    make = lambda d: spark.createDataFrame([(f, v) for f, v in d.items()], "file string, v int")
+    t.overwrite(make(rows))
+    base, most, written = t.segments()[0]["data"], 0, 0
+    for k in range(1, 25):
+        part = {f"f{(7 * k + i) % 410}": k for i in range(3)}
+        rows |= part
+        t.upsert(make(part))
+        if k % 6 == 0:
+            gone = f"f{k}"
+            rows.pop(gone, None)
+            t.delete(spark.createDataFrame([(gone,)], "file string"))
+        segments = t.segments()
+        most, written = max(most, len(segments)), written + segments[-1]["rows"]
+        if k < 10:
+            assert segments[0]["data"] == base  # the large segment is not rewritten for small changes
+    assert dict(tuple(r) for r in t.read().collect()) == rows and most <= 5 and written < 3000
+    t.prune(spark.createDataFrame([("f5",), ("f6",)], "file string"))
+    assert {r.file for r in t.read(["file"]).collect()} == {"f5", "f6"} & set(rows)
+    t.compact()
+    assert len(t.segments()) == 1 and t.purge() > 0 and {r.file for r in t.read().collect()} == {"f5", "f6"} & set(rows)
+
+
+def test_two_writers_and_old_versions(spark, tmp_path):
+    a, b = (snapshots.SnapshotTable(spark, str(tmp_path / "t")) for _ in range(2))
+    make = lambda *f: spark.createDataFrame([(x,) for x in f], "file string")
+    first = a.append(make("x"))
+    plain, raced = a.current, []
+
+    def late():  # another writer comes in between
+        now = plain()
+        if not raced:
+            raced.append(b.append(make("y")))
+        return now
+
+    a.current = late
+    a.append(make("z"))
+    assert {r.file for r in b.read().collect()} == {"x", "y", "z"} and len(b.versions()) == 3
+    assert [r.file for r in b.read(version=first).collect()] == ["x"]
+    with pytest.raises(FileNotFoundError):
+        snapshots.SnapshotTable(spark, str(tmp_path / "none")).read()
+
+
 def test_log_rotation(spark, tmp_path):
     for day in (1, 2, 3):
         snapshots.append_log(spark.createDataFrame([(f"2024-01-0{day} 10:00:00", "q")], "ts string, query string"), str(tmp_path / "log"))

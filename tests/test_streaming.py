@@ -38,11 +38,22 @@ def test_incremental_equals_rebuild(spark, tmp_path):
 
 def test_incomplete_files_come_again(spark, tmp_path):
     source = str(tmp_path / "in")
-    write(spark, [("a.md", "a", "", 1.0, "one"), ("b.md", "b", "", 1.0, "two")], source)
-    table, hashes = SnapshotTable(spark, str(tmp_path / "t")), SnapshotTable(spark, str(tmp_path / "h"))
+    table, hashes, retry = (SnapshotTable(spark, str(tmp_path / n)) for n in "thr")
     chunks = lambda df: df.select("file", "content")
-    ingest.ingest(ingest.note_stream(spark, source), table, hashes, chunks, str(tmp_path / "cp"), complete=lambda d: d.where("file != 'b.md'")).awaitTermination()
-    assert {r.file for r in hashes.read().collect()} == {"a.md"}
+    failing = {"b.md"}
+    complete = lambda d: d.where(~F.col("file").isin(*failing)) if failing else d
+    run = lambda: ingest.ingest(ingest.note_stream(spark, source), table, hashes, chunks, str(tmp_path / "cp"), complete=complete, retry=retry).awaitTermination()
+    state = lambda: ({r.file: r.content for r in table.read().collect()}, {r.file for r in hashes.read().collect()}, {r.file: r.content for r in retry.read().collect()})
+    write(spark, [("a.md", "a", "", 1.0, "one"), ("b.md", "b", "", 1.0, "two")], source)
+    run()
+    assert state() == ({"a.md": "one"}, {"a.md"}, {"b.md": "two"})
+    failing = {"a.md"}
+    write(spark, [("a.md", "a", "", 2.0, "one again"), ("c.md", "c", "", 2.0, "three")], source)
+    run()  # what failed is part of this batch; what fails now keeps its old chunks
+    assert state() == ({"a.md": "one", "b.md": "two", "c.md": "three"}, {"a.md", "b.md", "c.md"}, {"a.md": "one again"})
+    failing = set()
+    ingest.retry_failed(table, hashes, chunks, retry, complete=complete)
+    assert state() == ({"a.md": "one again", "b.md": "two", "c.md": "three"}, {"a.md", "b.md", "c.md"}, {})
     parts = spark.createDataFrame([("a", True), ("a", False), ("b", True)], "file string, ok boolean")
     assert [r.file for r in ingest.complete_files(parts).collect()] == ["b"]
 
