@@ -49,18 +49,18 @@ ABBREVIATIONS: dict[str, str] = dict(
 
 _STOP = """
 abnormal activity acute adult age alias aliase aliases analysis anterior api area article assessment
-bilateral block body bone calendar case category cell change child chronic claude claude.md clinical code command common
+bilateral block body bone calendar case category cell change child chronic clinical code command common
 complication condition config conservative content daily data day decrease development diagnosis disease disorder drug
 early effect elderly evaluation evidence examination exercise extension factor female field file final finding folder form free function
 group guideline header high highlight== history homepage hook hub image improvement increase index initial intervention item
 joint json key label large late lateral left level link list low lower male management measure mechanism medial medication medicine
-method mild model moderate month mortality muscle negative nerve normal note notebooklm number obsidian organ outcome
+method mild model moderate month mortality muscle negative nerve normal note number organ outcome
 page path patient patients pattern pediatric phase physical plugin positive post posterior primary priority procedure process prognosis project prompt
 query rare rate ratio recovery reduction region report resource result review right risk scale score script search secondary section
 server session setting severe sign signs small source stage string study surgical symptom symptoms system table tag tags template
-test text therapy tissue title tool treatment type typical unilateral unscheduled upper url user value vault weak week weekday weeks wikilink year client
+test text therapy tissue title tool treatment type typical unilateral unscheduled upper url user value weak week weekday weeks year client
 """
-#: Names too general to link notes by.
+#: Names too general to link notes by: a constant of the semantics, since bridges depend on every word of it.
 STOPWORDS: frozenset[str] = frozenset(_STOP.split()) | {"pasted image", "side effect", "slash command"}
 
 #: Semantic type codes by the kind of entity they mark (ENT-8).

@@ -50,3 +50,10 @@ def extraction_order(notes: DataFrame, priority: list[str], n: int) -> DataFrame
     """TOP-6: notes to process: those to redo, then priority folders, then others; latest first."""
     bucket = F.when(F.col("redo"), 0).when(F.col("folder").isin(priority), 1).otherwise(2)
     return notes.withColumn("bucket", bucket).orderBy("bucket", F.desc("mtime"), "note").limit(n)
+
+
+def supplementary(files: DataFrame, processed: DataFrame, *, never: tuple[str, ...] = ("MEMORY.md",)) -> DataFrame:
+    """ENT-10: (note, file, mtime, folder) of supplementary files (file, mtime) that are new or later than when they were processed (note, mtime)."""
+    mine = files.where(~F.element_at(F.split("file", "/"), -1).isin(*never)).withColumn("note", F.concat(F.lit("memory:"), F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.md$", "")))
+    both = mine.join(processed.select("note", F.col("mtime").alias("was__")), "note", "left")
+    return both.where(F.col("mtime") > F.coalesce("was__", F.lit(0.0))).select("note", "file", "mtime", F.lit("memory").alias("folder"))

@@ -37,8 +37,8 @@ def tier(score: Column, *, first: float = 0.7, second: float = 0.5) -> Column:
 
 
 def by_keys(rows: DataFrame, keys: DataFrame, key: str = "parent_id") -> DataFrame:
-    """FLT-2: the rows of the keys listed (a result list: bounded by its limit, so it is broadcast)."""
-    return rows.join(F.broadcast(keys.select(key).distinct()), key, "left_semi")
+    """FLT-2: the rows of the keys listed; a short list is broadcast by the planner, a long one is not."""
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def autocomplete(names: DataFrame, typed: str, k: int = 10) -> DataFrame:
@@ -50,7 +50,7 @@ def autocomplete(names: DataFrame, typed: str, k: int = 10) -> DataFrame:
 
 def notes_context(chunks: DataFrame, names: DataFrame, *, most: int = 100, cut: int = 3000) -> DataFrame:
     """CTX-2: for each named note (note, place) its chunks in order under their sections, cut, with a header line."""
-    mine = dedup.keep_n(chunks.join(F.broadcast(names.select("note", "place")), "note"), "note", most, "chunk_idx")
+    mine = dedup.keep_n(chunks.join(names.select("note", "place"), "note"), "note", most, "chunk_idx")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", F.concat(F.lit("## "), F.col("section"), F.lit("\n"), F.col("text")).alias("t")))), lambda x: x["t"]), "\n\n")
     whole = mine.groupBy("note", "place").agg(body.alias("b"))
     return whole.select("note", "place", F.concat(F.lit("【"), F.col("note"), F.lit("】\n"), F.when(F.length("b") > cut, F.concat(F.substring("b", 1, cut), F.lit("..."))).otherwise(F.col("b"))).alias("block"))
@@ -61,10 +61,28 @@ def join_blocks(blocks: DataFrame, *, order: str = "place") -> DataFrame:
     return blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "block"))), lambda x: x["block"]), "\n\n---\n\n").alias("context"))
 
 
-def rag_blocks(results: DataFrame, *, cut: int) -> DataFrame:
-    """CTX-3, CTX-4: (rank, note, section, text) results as blocks."""
-    head = F.concat(F.lit("【"), F.col("note"), F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" › "), F.col("section"))).otherwise(""), F.lit("】\n"))
-    return results.select(F.col("rank").alias("place"), F.concat(head, F.substring("text", 1, cut)).alias("block"))
+def rag_blocks(results: DataFrame, *, cut: int, longform: bool = False) -> DataFrame:
+    """CTX-3, CTX-4: (rank, note, section, similarity, text) results, or (rank, book, file, section, similarity, text) long-form ones, as blocks."""
+    parts = ["book", "file", "section"] if longform else ["note", "section"]
+    name = F.concat_ws(" › ", *[F.coalesce(p, F.lit("")) for p in parts])
+    text = F.coalesce("text", F.lit(""))
+    body = F.when(F.length(text) > cut, F.concat(F.substring(text, 1, cut), F.lit("..."))).otherwise(text)
+    head = F.concat(F.lit("【📖 " if longform else "【"), name, F.lit("】(sim="), tx.similarity_text(F.col("similarity")), F.lit(")\n"))
+    return results.select(F.col("rank").alias("place"), F.concat(head, body).alias("block"))
+
+
+def full_notes(wanted: DataFrame, notes: DataFrame) -> DataFrame:
+    """CTX-1: (path, content) of the paths wanted: the note of that file, else of the path with ".md", else an empty text."""
+    exact = notes.select(F.col("file").alias("path"), F.col("content").alias("exact__"))
+    short = notes.where(F.col("file").endswith(".md")).select(F.regexp_replace("file", r"\.md$", "").alias("path"), F.col("content").alias("short__"))
+    short = short.where(~F.col("path").endswith(".md"))
+    return wanted.select("path").join(exact, "path", "left").join(short, "path", "left").select("path", F.coalesce("exact__", "short__", F.lit("")).alias("content"))
+
+
+def with_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """JOIN-1: children with their parent's text and token count; empty and 0 where there is no such parent."""
+    theirs = parents.select("parent_id", F.col("text").alias("parent_full"), F.col("token_count").alias("parent_tokens"))
+    return children.join(theirs, "parent_id", "left").withColumn("parent_full", F.coalesce("parent_full", F.lit(""))).withColumn("parent_tokens", F.coalesce(F.col("parent_tokens").cast("long"), F.lit(0)))
 
 
 def page_context(hits: DataFrame, lines: DataFrame, *, reach: int = 2, cut: int = 6000) -> DataFrame:

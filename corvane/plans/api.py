@@ -108,10 +108,10 @@ def longform_search(children: DataFrame, parents: DataFrame, query: Sequence[flo
     grants = dedup.budgets(F.col("n")) if full_parent else F.array_repeat(F.lit(800), F.col("n").cast("int"))
     budget = order_of.crossJoin(order_of.agg(F.count(F.lit(1)).cast("int").alias("n"))).select("parent_id", F.get(grants, F.col("place").cast("int")).alias("budget"))
     text = tx.truncate_tokens(F.col("parent_full"), F.col("budget"))
-    wanted = context.by_keys(parents.select("parent_id", F.col("text").alias("parent_full"), F.col("token_count").alias("parent_tokens")), top.select("parent_id"))
+    wanted = context.by_keys(parents, top.select("parent_id"))
     return (
-        top.join(F.broadcast(budget), "parent_id").join(F.broadcast(wanted), "parent_id", "left")
-        .withColumn("parent_text", F.coalesce(text, F.lit(""))).withColumn("truncated", F.coalesce(F.col("parent_text") != F.col("parent_full"), F.lit(False))).drop("parent_full")
+        context.with_parents(top.join(budget, "parent_id"), wanted)
+        .withColumn("parent_text", text).withColumn("truncated", F.col("parent_text") != F.col("parent_full")).drop("parent_full")
     )
 
 
@@ -124,16 +124,28 @@ def log_row(results: DataFrame, *, query: str, raw: DataFrame) -> DataFrame:
     return kept.drop("qid", "unique_parent_ratio_raw").crossJoin(n).withColumn("query", F.lit(query)).withColumn("ts", F.current_timestamp())
 
 
-def chat_context(chunks: DataFrame, children: DataFrame | None, query: Sequence[float], n: int = 5, *, now: float, profile: Profile = API) -> DataFrame:
+def longform_hits(children: DataFrame, query: Sequence[float], n: int = 5, *, boost: dict[str, float] | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """KNN-3 → SCR-5 → FLT-5 → WIN-4 → first max(5, n), with the text of the pages around (TXT-26; lines as page_context takes them) or the chunk's own."""
+    n = max(5, n)
+    hits = vector.top_k(children, query, vector.over_fetch("chat_longform", n)).withColumn("similarity", vector.similarity(F.col("distance")))
+    hits = hits.withColumn("similarity", scoring.source_boost(F.col("similarity"), F.col("book"), boost or {}))
+    order = (F.desc("similarity"), F.round("distance", 12), F.col("id"))
+    top = scoring.ranked(dedup.keep_n(context.floor(hits), "book", 2, *order).orderBy(*order).limit(n), *order)
+    if pages is None:
+        return top
+    wide = context.page_context(top.select("file", F.col("page_start").alias("page")), pages).select("file", F.col("hit_page").alias("page_start"), "context")
+    return top.join(wide, ["file", "page_start"], "left").withColumn("text", F.coalesce(F.nullif(F.col("context"), F.lit("")), F.col("text"))).drop("context")
+
+
+def chat_context(
+    chunks: DataFrame, children: DataFrame | None, query: Sequence[float], n: int = 5, *, now: float, profile: Profile = API, boost: dict[str, float] | None = None, pages: DataFrame | None = None,
+) -> DataFrame:
     """CTX-3, CTX-4: the blocks of the notes half and the long-form half of an answer's context, in one text."""
     notes = search(chunks, query, n, now=now, profile=profile)
-    blocks = context.rag_blocks(context.floor(notes.withColumn("similarity", F.col("raw_similarity"))), cut=1500)
+    blocks = context.rag_blocks(context.floor(notes), cut=1500)
     if children is not None:
-        hits = vector.top_k(children, query, vector.over_fetch("chat_longform", n)).withColumn("similarity", vector.similarity(F.col("distance")))
-        order = (F.desc("similarity"), F.col("id"))
-        few = dedup.keep_n(context.floor(hits), "book", 2, *order).orderBy(*order).limit(n)
-        top = scoring.ranked(few, *order).select((F.col("rank") + n).alias("rank"), F.col("book").alias("note"), F.col("section_path").alias("section"), "text")
-        blocks = blocks.unionByName(context.rag_blocks(top, cut=3000))
+        top = longform_hits(children, query, n, boost=boost, pages=pages)
+        blocks = blocks.unionByName(context.rag_blocks(top.withColumn("rank", F.col("rank") + n).withColumn("section", F.col("section_path")), cut=3000, longform=True))
     return context.join_blocks(blocks)
 
 

@@ -195,7 +195,7 @@ def result_entities(spark, sf_dir):
     from corvane.operators import scoring
 
     e = page_entities(spark, sf_dir).select("note", "canonical").distinct().withColumn("name", F.lit("")).withColumn("type", F.lit(""))
-    return entities.entities_of(scoring.ranked(e.select("note").distinct(), "note"), e).select("note", "rank", "canonical", "nth")
+    return entities.entities_of(scoring.ranked(e.select("note").distinct().orderBy("note").limit(30), "note"), e).select("note", "rank", "canonical", "nth")
 
 
 @query("""SELECT c_custkey AS id, 'primary' AS origin FROM customer WHERE c_acctbal > 0

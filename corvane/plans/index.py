@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from corvane.operators import changes, chunking, entities, graph, vector
 from corvane.settings import Settings
 from corvane.sources import markdown
 from corvane.sources.snapshots import SnapshotTable, signature
+from corvane.streaming.ingest import ERROR_SCHEMA, merge_errors
 
 
 class Corpus:
@@ -63,27 +67,56 @@ class Corpus:
             t.purge()
         return counts
 
-    def index_longform(self, *, book: str | None = None) -> dict[str, int]:
-        """TXT-6..20: parents and children of all books, or of one."""
+    def reindex_note(self, file: str) -> dict[str, int]:
+        """STR-2: one note anew, or out of the tables if its file is gone."""
+        found = markdown.scan(self.spark, self.settings.notes_dir, skip=tuple(self.settings.skip_folders)).where((F.col("file") == file) & F.col("ok"))
+        now, made = found.withColumn("hash", changes.content_hash(F.col("content"))), self.table("staged_chunks")
+        key = self.spark.createDataFrame([(file,)], "file string")
+        made.overwrite(self._vectors(chunking.note_chunks(now)))
+        bad, good = made.read().where("vector IS NULL").count(), made.read().where("vector IS NOT NULL")
+        if bad:
+            return {"chunks": 0, "errors": bad}
+        self.table("chunks").upsert(good, touched=key)
+        self.table("notes").upsert(now.select("file", "note", "folder", "mtime", "content"), touched=key)
+        self.table("hashes").upsert(now.select("file", "hash"), touched=key)
+        return {"chunks": good.count(), "errors": 0}
+
+    def index_longform(self, *, book: str | None = None, retry: bool = False, reset: bool = False, now: float | None = None) -> dict[str, int]:
+        """TXT-6..20: parents and children of all books, of one, or (retry) of the files whose children failed before.
+
+        Children that could not be embedded go to the error log (STR-5); what succeeds is marked there as fixed. `reset` empties the log.
+        """
+        parents, children, errors = self.table("parents"), self.table("children"), self.table("errors")
+        if reset or not errors.exists():
+            errors.overwrite(self.spark.createDataFrame([], ERROR_SCHEMA + ", file string"))
         files = markdown.scan(self.spark, self.settings.longform_dir, lossy=True)
         kept = markdown.select_files(files.select(F.col("file").alias("path"))).where("kept").select(F.col("path").alias("file"))
         files = files.join(kept, "file", "left_semi")
         if book:
             files = files.where(F.col("file").startswith(f"{book}/"))
-        parents, children = self.table("parents"), self.table("children")
+        if retry:
+            files = files.join(errors.read().where("status IN ('pending', 'permanent')").select("file").distinct(), "file", "left_semi")
         fresh = chunking.longform_parents(files).withColumn("indexing_signature", F.lit(self.signature))
-        kids = self._vectors(chunking.longform_children(fresh.drop("indexing_signature"))).where("vector IS NOT NULL")
-        if book and parents.exists():
+        # one evaluation of the embedder: the result is written before anything is read from it
+        made = self.table("staged_children")
+        made.overwrite(self._vectors(chunking.longform_children(fresh.drop("indexing_signature"))))
+        kids, failed = made.read().where("vector IS NOT NULL"), made.read().where("vector IS NULL").select("id", "file")
+        if (book or retry) and parents.exists():
             touched = files.select("file")
             parents.upsert(fresh, touched=touched)
             children.upsert(kids, touched=touched)
         else:
             parents.overwrite(fresh)
             children.overwrite(kids)
+        at = dt.datetime.fromtimestamp(now if now is not None else time.time(), dt.timezone.utc)
+        log = errors.read()
+        known = log.select("id", "file").unionByName(failed).groupBy("id").agg(F.min("file").alias("file"))
+        errors.overwrite(merge_errors(log.drop("file"), failed, kids.select("id"), now=at).join(known, "id"))
         parents.mark_ready(self.signature)
-        for t in (parents, children):
+        n_failed = failed.count()
+        for t in (parents, children, errors, made):
             t.purge()
-        return {"parents": parents.count(), "children": children.count()}
+        return {"parents": parents.count(), "children": children.count(), "failed": n_failed}
 
     def build_graph(self) -> dict[str, int]:
         """GRF-1, AGG-5."""

@@ -74,28 +74,24 @@ def knn_folder_filter(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS},
-q AS (SELECT folder AS qid, arg_min(vector, id) AS q FROM chunks GROUP BY folder),
+q AS (SELECT id AS qid, vector AS q FROM chunks WHERE id % 100 = 0),
 r AS (SELECT qid, id, round(1 - list_cosine_similarity(vector, q), 12) AS d, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_cosine_similarity(vector, q), 12), id) AS rank FROM chunks, q)
 SELECT qid, id, rank FROM r WHERE rank <= 5""")
 def knn_many_queries(spark, sf_dir):
-    """KNN-1 for a table of queries, one of each folder."""
+    """KNN-1 for a table of queries: every row whose id is divisible by 100, against all rows."""
     c = chunks(spark, sf_dir)
-    q = c.groupBy(F.col("folder").alias("qid")).agg(F.min_by("vector", "id").alias("query"))
-    return vector.top_k_many(c, q, 5).select("qid", "id", "rank")
-
+    q = c.where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    return vector.top_k_many(c.select("id", "vector"), q, 5).select("qid", "id", "rank")
 
-@query()
-def knn_every_row(spark, sf_dir):
-    """KNN-1 with every row as a query, itself among its neighbours."""
-    c = chunks(spark, sf_dir)
-    return vector.top_k_many(c.select("id", "vector"), c.select(F.col("id").alias("qid"), F.col("vector").alias("query")), 5).select("qid", "id", "rank")
 
-
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS before, 1.0::DOUBLE AS after FROM embeddings")
+@query("""WITH e AS (SELECT vec_id, CASE vec_id % 10 WHEN 3 THEN list_transform(embedding, lambda x: 0.0::FLOAT) WHEN 7 THEN list_transform(embedding, lambda x: 'nan'::FLOAT) ELSE list_transform(embedding, lambda x: (3 * x)::FLOAT) END AS v FROM embeddings)
+SELECT vec_id, CASE vec_id % 10 WHEN 3 THEN 0.0 WHEN 7 THEN -1.0 ELSE round(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 4) END AS before, CASE vec_id % 10 WHEN 3 THEN 0.0 WHEN 7 THEN -1.0 ELSE 1.0 END::DOUBLE AS after FROM e""")
 def vector_normalise(spark, sf_dir):
-    """KNN-5."""
-    e = load(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(vector.norm(F.col("embedding")), 4).alias("before"), F.round(vector.norm(vector.normalise(F.col("embedding"))), 4).alias("after"))
+    """KNN-5: vectors three times as long, and some that are zero (length 0) or NaN (-1 here), which stay as they are."""
+    kind, v = F.col("vec_id") % 10, F.col("embedding")
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform(v, lambda x: F.when(kind == 3, F.lit(0.0)).when(kind == 7, F.lit(float("nan"))).otherwise(x * 3).cast("float")).alias("v"))
+    length = lambda c: F.round(F.when(F.isnan(vector.norm(c)), -1.0).otherwise(vector.norm(c)), 4)
+    return e.select("vec_id", length(F.col("v")).alias("before"), length(vector.normalise(F.col("v"))).alias("after"))
 
 
 @query(f"""WITH {ONE},{CHUNKS},{NEAR},
@@ -254,15 +250,19 @@ def stats_overall(spark, sf_dir):
 
 
 @query(f"""WITH {CHUNKS}, q AS (SELECT folder AS qid, arg_min(vector, id) AS q FROM chunks GROUP BY folder),
-r AS (SELECT qid, id, id // 4 AS parent_id, round(greatest(0, list_cosine_similarity(vector, q)), 4) AS s, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_cosine_similarity(vector, q), 12), id) AS rank FROM chunks, q QUALIFY rank <= 20)
-SELECT qid, round(stddev_pop(s), 4) AS score_std, round(list_sort(list(s), 'DESC')[1] - list_sort(list(s), 'DESC')[2], 4) AS top_gap,
-  round(count(DISTINCT parent_id) / count(*), 3) AS unique_parent_ratio_raw, round(count(DISTINCT parent_id) / count(*), 3) AS unique_parent_ratio FROM r GROUP BY qid""")
+r AS (SELECT qid, id, id // 4 AS parent_id, round(greatest(0, list_cosine_similarity(vector, q)), 4) AS s, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_cosine_similarity(vector, q), 12), id) AS rank FROM chunks, q QUALIFY rank <= 60),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid, parent_id ORDER BY rank) = 1 AND rank <= 40 AS kept FROM r)
+SELECT qid, round(stddev_pop(s) FILTER (WHERE kept), 4) AS score_std, round(list_sort(list(s) FILTER (WHERE kept), 'DESC')[1] - list_sort(list(s) FILTER (WHERE kept), 'DESC')[2], 4) AS top_gap,
+  round(count(DISTINCT parent_id) / count(*), 3) AS unique_parent_ratio_raw, round(count(DISTINCT parent_id) FILTER (WHERE kept) / count(*) FILTER (WHERE kept), 3) AS unique_parent_ratio FROM k GROUP BY qid""")
 def search_log_metrics(spark, sf_dir):
-    """AGG-8, AGG-9 of the ten queries' results."""
+    """AGG-8, AGG-9 of ten queries' sixty results: raw, and of the first forty one to a parent."""
+    from pyspark.sql import Window
+
     c = chunks(spark, sf_dir)
     q = c.groupBy(F.col("folder").alias("qid")).agg(F.min_by("vector", "id").alias("query"))
-    hits = vector.top_k_many(c, q, 20).withColumn("similarity", vector.similarity(F.col("distance"))).withColumn("parent_id", F.floor(F.col("id") / 4))
-    return stats.score_metrics(hits)
+    hits = vector.top_k_many(c, q, 60).withColumn("similarity", vector.similarity(F.col("distance"))).withColumn("parent_id", F.floor(F.col("id") / 4))
+    first = F.row_number().over(Window.partitionBy("qid", "parent_id").orderBy("rank")) == 1
+    return stats.score_metrics(hits.withColumn("kept", first & (F.col("rank") <= 40)), kept=F.col("kept"))
 
 
 @query("SELECT max(n) / sum(n) AS share, arg_max(source, (n, source)) AS \"group\" FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
@@ -272,14 +272,14 @@ def dominant_share(spark, sf_dir):
 
 
 @query(f"""WITH {RELATIONS}, r AS (SELECT DISTINCT source_note, type FROM relations),
-n AS (SELECT note, row_number() OVER (ORDER BY note) - 1 AS rank FROM (SELECT DISTINCT source_note AS note FROM relations))
+n AS (SELECT note, row_number() OVER (ORDER BY note) - 1 AS rank FROM (SELECT DISTINCT source_note AS note FROM relations) QUALIFY rank < 30)
 SELECT source_note, type FROM n JOIN r ON note = source_note ORDER BY rank, type LIMIT 15""")
 def result_relations(spark, sf_dir):
     """JOIN-3: the relations of a result list, fifteen at most."""
     from corvane.operators import entities
 
     r = relations(spark, sf_dir).select("source_note", "type").distinct().withColumn("from", F.lit("")).withColumn("to", F.lit(""))
-    notes = scoring.ranked(r.select(F.col("source_note").alias("note")).distinct(), "note")
+    notes = scoring.ranked(r.select(F.col("source_note").alias("note")).distinct().orderBy("note").limit(30), "note")
     return entities.relations_of(notes, r).select("source_note", "type")
 
 

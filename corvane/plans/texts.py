@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import chunking, context, dedup, graph, stats
+from corvane.operators.vector import LONGFORM_INSTRUCTION
 from corvane.plans.retrieval import load
 from corvane.sources import markdown
 from corvane.sources.staging import shared_folder
@@ -119,15 +120,17 @@ def figure_ids(spark, sf_dir):
     return d.select("doc_id", tx.figure_ids(c).alias("figures"))
 
 
-@query("SELECT doc_id, CASE WHEN n >= 2 THEN 'table' WHEN doc_id % 3 = 0 THEN 'figure_caption' ELSE 'body' END AS kind FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10))[1:2], lambda x: contains(left(x, 12), 'th'))) AS n FROM documents)")
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+n AS (SELECT doc_id, len(lines) AS k, len(list_filter(lines, lambda x: contains(left(x, 12), 'th'))) AS n FROM l)
+SELECT doc_id, CASE WHEN n >= 2 THEN 'table' WHEN doc_id % 3 = 0 THEN 'figure_caption' ELSE 'body' END AS kind FROM n""")
 def chunk_kind(spark, sf_dir):
-    """TXT-16: the first two lines become table lines if they hold "th" early; every third text has a figure mark in its third line."""
+    """TXT-16: lines that hold "th" early become table lines, put first; every third text has a figure mark behind them."""
     d = load(spark, sf_dir, "documents")
-    two = F.slice(F.split("text", "\n"), 1, 2)
-    barred = F.transform(two, lambda x: F.when(F.substring(x, 1, 12).contains("th"), F.concat(F.lit("  | "), x)).otherwise(x))
-    padded = F.concat(barred, F.array(*[F.lit("")] * 2))
-    third = F.when(F.col("doc_id") % 3 == 0, F.lit("<!-- REF: x -->")).otherwise(F.lit("."))
-    return d.select("doc_id", tx.chunk_kind(F.array_join(F.concat(F.slice(padded, 1, 2), F.array(third)), "\n")).alias("kind"))
+    lines = F.split("text", "\n")
+    early = lambda x: F.substring(x, 1, 12).contains("th")
+    tables = F.transform(F.filter(lines, early), lambda x: F.concat(F.lit("  | "), x))
+    last = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("<!-- REF: x -->"))).otherwise(F.array(F.lit(".")))
+    return d.select("doc_id", tx.chunk_kind(F.array_join(F.concat(tables, last, F.filter(lines, lambda x: ~early(x))), "\n")).alias("kind"))
 
 
 @query("SELECT source || '/d' || doc_id || '.md' AS file, source AS folder FROM documents UNION ALL SELECT 'root' || doc_id || '.md', '' FROM documents")
@@ -281,29 +284,18 @@ def notes_context(spark, sf_dir):
     return context.notes_context(c, names)
 
 
-@query("""SELECT string_agg('【' || source || ' › ' || lang || '】' || chr(10) || left(text, 1500), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r) AS context
-FROM (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 8)""")
-def rag_context(spark, sf_dir):
-    """CTX-3: the blocks of a result list in one text."""
-    from corvane.operators import scoring
-
-    top = load(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(8)
-    r = scoring.ranked(top, F.desc("n_chars"), "doc_id").select("rank", F.col("source").alias("note"), F.col("lang").alias("section"), "text")
-    return context.join_blocks(context.rag_blocks(r, cut=1500))
-
-
-@query(r"""SELECT doc_id, CASE WHEN lang = 'en' THEN 'none' WHEN length(regexp_replace(left(text, n), '^\s+|\s+$', '', 'g')) <= 5 AND n_sel = 0 THEN 'none' WHEN n_sel > 0 THEN 'selected' WHEN lang = 'de' THEN 'mentioned+search' ELSE 'search' END AS policy,
-  CASE WHEN source = 'src3' THEN left(text, n) || chr(10) || left(text, 300) ELSE left(text, n) END AS query FROM (SELECT *, doc_id % 9 + 1 AS n, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS n_sel FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN lang = 'en' THEN 'none' WHEN length(regexp_replace(message, '^\s+|\s+$', '', 'g')) <= 5 AND n_sel = 0 THEN 'none' WHEN n_sel > 0 THEN 'selected' WHEN lang = 'de' THEN 'mentioned+search' ELSE 'search' END AS policy,
+  md5(CASE WHEN source = 'src3' THEN message || chr(10) || left(text, 300) ELSE message END) AS query FROM (SELECT *, CASE WHEN doc_id % 7 = 1 THEN ' ' || (doc_id % 5) || ' ' ELSE text END AS message, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS n_sel FROM documents)""")
 def context_policy(spark, sf_dir):
-    """CTX-5, CTX-6, SET-4."""
+    """CTX-5, CTX-6, SET-4: whole texts as messages, and some of a single digit."""
     d = load(spark, sf_dir, "documents")
     none = F.array().cast("array<string>")
     req = d.select(
-        "doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 9 + 1).cast("int")).alias("message"), F.when(F.col("lang") == "en", "free").otherwise("rag").alias("mode"),
+        "doc_id", F.when(F.col("doc_id") % 7 == 1, F.concat(F.lit(" "), (F.col("doc_id") % 5).cast("string"), F.lit(" "))).otherwise(F.col("text")).alias("message"), F.when(F.col("lang") == "en", "free").otherwise("rag").alias("mode"),
         F.when(F.col("doc_id") % 4 == 0, F.array("source")).otherwise(none).alias("selected"), F.when(F.col("lang") == "de", F.array(F.lit("x"))).otherwise(none).alias("mentioned"),
         F.when(F.col("source") == "src3", F.col("text")).alias("active"),
     )
-    return context.context_policy(req).select("doc_id", "policy", "query")
+    return context.context_policy(req).select("doc_id", "policy", F.md5("query").alias("query"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, repeat('a b ', 5000) || text AS h, left(text, 200) AS s, 'one' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'two' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'three' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text AS c FROM documents),
@@ -332,7 +324,7 @@ def file_selection(spark, sf_dir):
 
 @query()
 def longform_parents(spark, sf_dir):
-    """TXT-6..13 over the Markdown form of all documents; tests hold a brute-force version."""
+    """TXT-6..13 over the Markdown form of all documents."""
     return chunking.longform_parents(notes(spark, sf_dir)).drop("figure_ids")
 
 
@@ -342,19 +334,25 @@ def longform_chunks(spark, sf_dir):
     return chunking.longform_children(chunking.longform_parents(notes(spark, sf_dir))).drop("figure_ids")
 
 
-@query()
+@query(r"""SELECT doc_id, 'A fi 1⁄2 ' || trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS path FROM documents""")
 def section_path_nfkc(spark, sf_dir):
-    """SCL-4: compatibility forms have no SQL function; tests compare with unicodedata."""
-    return load(spark, sf_dir, "documents").select("doc_id", tx.section_path(F.concat(F.lit("Ａ ﬁ "), F.col("text"))).alias("path"))
+    """SCL-4: three characters with compatibility forms (no SQL function has them) before each text, which has canonical forms only."""
+    return load(spark, sf_dir, "documents").select("doc_id", tx.section_path(F.concat(F.lit("Ａ  ﬁ ½ \n"), F.col("text"))).alias("path"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower({instruction} || text), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+h AS (SELECT doc_id, md5_number_upper(w) AS h FROM w),
+b AS (SELECT doc_id, (h % 32)::INT AS b, sum(CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY doc_id, b),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM b GROUP BY doc_id)
+SELECT d.doc_id, list(CASE WHEN n.n > 0 THEN round(coalesce(b.v, 0) / n.n, 5) ELSE 0 END ORDER BY i) AS vector, NULL::VARCHAR AS error
+FROM documents d CROSS JOIN (SELECT unnest(range(0, 32)) AS i) LEFT JOIN b ON b.doc_id = d.doc_id AND b.b = i LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""".replace("{instruction}", f"'{LONGFORM_INSTRUCTION}'"))
 def embed_documents(spark, sf_dir):
     """KNN-6, KNN-7, KNN-8 with the hashing stand-in for a model."""
     from corvane.operators import vector
 
     d = load(spark, sf_dir, "documents").select("doc_id", vector.query_text(F.col("text"), longform=True).alias("text"))
-    return vector.embed_batches(d, vector.hashing_embedder(32), with_error=True).select("doc_id", "vector", "error")
+    got = vector.embed_batches(d, vector.hashing_embedder(32), with_error=True, cut=10**9)
+    return got.select("doc_id", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"), "error")
 
 
 DEBOUNCE = """WITH e AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -437,10 +435,12 @@ def content_ids(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"), F.md5(F.concat_ws("|", "source", "lang", F.col("doc_id").cast("string"))).alias("id"))
 
 
-@query("SELECT doc_id, text FROM documents")
+@query("SELECT doc_id, repeat(chr(65533), (strlen(left(text, 1)) - 1)::INT) || substr(text, 2) || CASE WHEN doc_id % 2 = 0 THEN chr(65533) ELSE '' END AS text FROM documents")
 def lossy_text(spark, sf_dir):
-    """TXT-30, SRC-3: well-formed text is unchanged."""
-    return load(spark, sf_dir, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
+    """TXT-30, SRC-3: texts without their first byte, every other one with a byte at the end that begins nothing."""
+    raw = F.col("text").cast("binary")
+    cut = F.concat(F.substring(raw, 2, 1 << 30), F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    return load(spark, sf_dir, "documents").select("doc_id", tx.clean_text(cut.cast("string")).alias("text"))
 
 
 @query("""WITH t AS (SELECT source || '/d' || doc_id || '.md' AS file, text, sha256(text) AS hash FROM documents) SELECT file, hash, length(text)::BIGINT AS n FROM t""")

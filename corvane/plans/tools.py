@@ -64,6 +64,15 @@ def _bridges(c: Corpus, a: dict) -> str:
     return "\n".join(f"{i}. **{r.note}** — {r['count']} shared: {', '.join(r.shared_entities)}" for i, r in enumerate(rows, 1))
 
 
+def _reindex(c: Corpus, a: dict) -> str:
+    return json.dumps(c.reindex_note(a["file"]))
+
+
+def _read(c: Corpus, a: dict) -> str:
+    wanted = c.spark.createDataFrame([(a["file"],)], "path string")
+    return context.full_notes(wanted, c.table("notes").read()).first().content
+
+
 #: Name: (function, required arguments, optional ones).
 TOOLS: dict[str, tuple[Callable[[Corpus, dict], str], list[str], list[str]]] = {
     "search": (_search, ["query"], ["n_results", "folder", "include_excerpt", "boost_recent", "include_archived", "exclude_derived"]),
@@ -72,6 +81,8 @@ TOOLS: dict[str, tuple[Callable[[Corpus, dict], str], list[str], list[str]]] = {
     "longform_search": (_longform, ["query"], ["n_results", "book", "full_parent", "exclude_derived", "source_boost"]),
     "stats": (_stats, [], []),
     "bridges": (_bridges, ["note"], []),
+    "reindex": (_reindex, ["file"], []),
+    "read": (_read, ["file"], []),
 }
 
 
@@ -121,7 +132,7 @@ def serve(corpus: Corpus, lines: Iterable[str]) -> Iterator[str]:
 
 
 def main(argv: list[str] | None = None) -> None:
-    """python -m corvane.plans.tools index [--incremental] | longform [--book B] | graph | resolve | stats | bridges NOTE | serve"""
+    """python -m corvane.plans.tools index [--incremental] | longform [--book B] [--retry] [--reset] | graph | resolve | stats | bridges NOTE | serve"""
     import argparse
 
     from corvane.session import session
@@ -132,6 +143,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("note", nargs="?")
     p.add_argument("--book")
     p.add_argument("--incremental", default=False, action="store_true")
+    p.add_argument("--retry", default=False, action="store_true")
+    p.add_argument("--reset", default=False, action="store_true")
     a = p.parse_args(argv)
     corpus = Corpus(session(), Settings.from_env())
     if a.what == "serve":
@@ -139,7 +152,7 @@ def main(argv: list[str] | None = None) -> None:
             print(out, flush=True)
         return
     print({
-        "index": lambda: corpus.index_notes(incremental=a.incremental), "longform": lambda: corpus.index_longform(book=a.book), "graph": corpus.build_graph,
+        "index": lambda: corpus.index_notes(incremental=a.incremental), "longform": lambda: corpus.index_longform(book=a.book, retry=a.retry, reset=a.reset), "graph": corpus.build_graph,
         "resolve": corpus.resolve, "stats": lambda: call(corpus, "stats", {}), "bridges": lambda: call(corpus, "bridges", {"note": a.note}),
     }[a.what]())
 

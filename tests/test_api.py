@@ -68,6 +68,10 @@ def test_longform_and_context(corpus):
     assert all(r.book == "Book1" for r in api.longform_search(children, parents, query, 8, book="Book1").collect())
     log = api.log_row(api.longform_search(children, parents, query, 8), query="q", raw=vector.top_k(children, query, 80)).first()
     assert log.query == "q" and 0 < log.unique_parent_ratio <= 1
+    hit = api.longform_hits(children, query, 5, boost={"Book0": 0.3}).withColumn("page_start", F.lit(2)).select("file", "page_start").first()
+    lines = children.select("file").distinct().where(F.col("file") == hit.file).select("file", F.explode(F.array(*[F.struct(F.lit(k).alias("page"), F.lit(k).alias("line_no"), F.lit(f"page {k}").alias("line")) for k in (1, 2, 3, 9)])).alias("l")).select("file", "l.*")
+    wide = api.longform_hits(children.withColumn("page_start", F.lit(2)), query, 5, boost={"Book0": 0.3}, pages=lines).collect()
+    assert wide and {r.text for r in wide if r.file == hit.file} == {"[p.1] page 1\n\n[p.2] page 2\n\n[p.3] page 3"} and all("gait" in r.text or "part" in r.text for r in wide if r.file != hit.file)
     text = api.chat_context(chunks, children, query, 3, now=NOW).first().context
     assert text is None or text == "" or "【" in text
     assert context.render_longform(api.longform_search(children, parents, query, 3)).first().markdown.startswith("### 1. Book")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import vector
-from corvane.plans import registry, retrieval
+from corvane.plans import registry
 from tests.oracle import DATA, compare
 
 pytestmark = pytest.mark.skipif(not (DATA / "sf0.001").exists(), reason="the driver's tables are not here")
@@ -28,17 +28,16 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(registry.queries())
 
 
-def test_every_row_is_a_query(spark, tmp_path, monkeypatch):
+def test_every_row_is_a_query(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 8)).astype(np.float32)
     x[41] = x[7]  # a tie
-    rows = [(i, [float(v) for v in x[i]], i % 3) for i in range(60)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "id long, vector array<float>").repartition(3)
     y = x.astype(np.float64)
     d = np.round(1 - (y @ y.T) / np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(y, axis=1)), 12)
     want = {(q, int(i), r + 1) for q in range(60) for r, i in enumerate(np.lexsort((np.arange(60), d[q]))[:5])}
-    assert {tuple(r) for r in registry.queries()["knn_every_row"](spark, str(tmp_path)).collect()} == want
+    q = c.select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    assert {(r.qid, r.id, r["rank"]) for r in vector.top_k_many(c, q, 5).collect()} == want
     monkeypatch.setattr(vector, "CELLS", 50)
-    c = retrieval.chunks(spark, str(tmp_path)).select("id", "vector")
-    parts = vector.top_k_many(c, c.select(F.col("id").alias("qid"), F.col("vector").alias("query")), 5, max_broadcast=13)
+    parts = vector.top_k_many(c, q, 5, max_broadcast=13)
     assert {(r.qid, r.id, r["rank"]) for r in parts.collect()} == want
