@@ -2,13 +2,13 @@
 
 A text is the set of its `shingle`-word shingles, sketched by 64 minwise values
 and the last bytes of 128 more.
-Several independent trees branch the documents: a node of a tree picks `branches`
+Several trees branch the documents: a node of a tree picks `branches`
 coordinates, and a document goes on to the child named by its own minwise value
 at each. Nodes of at most `leaf` documents are compared exhaustively; larger ones
 branch again, each at coordinates of its own that its path has not used, until
-they are small, stop shrinking (their documents are alike throughout) or reach
-the last level, where they are compared exhaustively too, whatever their size.
-All trees share the 64 coordinates: a pair of similarity J agrees on a of them, a
+they are small, stop shrinking (a child keeps 70 % of its parent: their documents
+are alike throughout) or reach the last level. What is then still large is compared
+in blocks (see below). All trees share the 64 coordinates: a pair of similarity J agrees on a of them, a
 binomial number, and given a, a tree brings the pair to depth d with probability
 f(d, a) (`_given`). `trees_for` adds trees until the mean of 1 - (1 - f)^trees over
 a reaches the target recall at the threshold and at the last level's depth.
@@ -16,16 +16,24 @@ a reaches the target recall at the threshold and at the last level's depth.
 Sketches only propose. Pairs well above the threshold (three standard errors)
 link at once; pairs within three standard errors of it are decided by the exact
 Jaccard similarity of their shingle sets, unless the sure links already join
-them. Groups are the connected components of the links.
+them. Groups are the connected components of the links; a task sends a tree of
+its sure links, never all pairs of alike documents.
+
+A large node is cut into blocks of `block` documents, each searched by one task
+from document to document, which takes one round where all are alike. The
+components of all links so far then tell which documents are not in the node's
+largest component; these alone are compared with every block of the node,
+rectangle by rectangle, so that no pair of unjoined documents stays uncompared,
+no task holds more than five blocks, and alike documents cost no comparison of all pairs.
 
 Scale: texts are read once for sketches (and once more, for the undecided pairs
 alone, by a semi-join). Exact copies collapse first, by a 128-bit hash of their
 words, so that a thousand copies cost one sketch. What is shuffled per level is
-(node, id) rows of 32 bytes; sketches travel only for nodes of two or more.
+(node, id) rows of 32 bytes; sketches travel only to nodes that branch, and once to all leaves.
 
 Defined cases: null and empty texts, and texts without words, have no shingles
 and belong to no group. A text shorter than a shingle is one shingle of all its
-words. Rows with a null id are in no group. Rows that repeat an id count as one
+words. A very long text is sketched whole. Rows with a null id are in no group. Rows that repeat an id count as one
 document, by its smallest text. The group's name is its smallest id, so ties
 have one outcome. Extra columns are ignored by `near_groups` and pass through
 `drop_near_duplicates`. Empty tables give empty results.
@@ -39,14 +47,14 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import pieces, release, spare, stage
 from corvane.llm.textkernel import Scan, doc_shingles, mix
 
 COORDS, BYTES = 64, 128  # minwise values kept whole, for branching, and as their last byte, to estimate similarity
-LEVELS = 9
+LEVELS = 7
 _MULT = (mix(np.arange(1, COORDS + BYTES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 MAX_BROADCAST_IDS = 4_000_000  # ids of undecided documents that are broadcast; more are joined by a shuffle of the texts
 _WIDTH = COORDS + BYTES // 4  # 32-bit columns of a sketch
@@ -107,44 +115,118 @@ def sketches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
         )
 
 
-def _children(df: DataFrame, level: int, branches: int) -> DataFrame:
-    """Each (node, n, used, id, sig) row at its node's children, with the parent's count and the coordinates used so far, as bits.
+def _root_children(batches: Iterator[pa.RecordBatch], trees: int, branches: int) -> Iterator[pa.RecordBatch]:
+    """(id, sig) rows to (id, node, parent, used): the children of every tree's root.
 
     A root takes the coordinates whose turn it is, so that the first COORDS / branches trees begin with coordinates of
-    their own. Any other node takes one of each part of those that its path has not used, by its own hash.
+    their own.
     """
-    slots = F.array(*[F.lit(j) for j in range(branches)])
-    if level:
-        part = (COORDS - level) // branches
-        unused = F.filter(F.array(*[F.lit(c) for c in range(COORDS)]), lambda c: F.col("used").bitwiseAND(_bit(c)) == 0)
-        df = df.withColumn("unused", unused)
-        coord = F.get("unused", F.col("slot") * part + F.pmod(F.xxhash64("node", "slot"), F.lit(part)).cast("int"))
-    else:
-        df = df.withColumn("unused", F.lit(None))
-        coord = F.pmod(F.col("node") * branches + F.col("slot"), F.lit(COORDS)).cast("int")
-    at = df.select("node", "n", "used", "id", "sig", "unused", F.explode(slots).alias("slot")).select("node", "n", "used", "id", "sig", coord.alias("coord"))
-    child = F.xxhash64("node", "coord", F.get("sig", F.col("coord")))
-    return at.select("id", child.alias("node"), F.col("n").alias("parent"), F.col("used").bitwiseOR(_bit(F.col("coord"))).alias("used"))
+    for batch in batches:
+        ids, sig = batch.column(0), _matrix(batch.column(1))
+        for t in range(trees):
+            for slot in range(branches):
+                c = (t * branches + slot) % COORDS
+                child = mix(mix(np.full(len(sig), t * COORDS + c + 1, np.uint64)) ^ sig[:, c].view(np.uint32))
+                used = np.full(len(sig), np.uint64(1) << np.uint64(c), np.uint64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(child.view(np.int64)), pa.nulls(len(sig), pa.int64()), pa.array(used.view(np.int64))], names=["id", "node", "parent", "used"])
+
 
+def _children(batches: Iterator[pa.RecordBatch], level: int, branches: int) -> Iterator[pa.RecordBatch]:
+    """(node, n, used, id, sig) rows to (id, node, parent, used): each document at its node's children.
 
-def _bit(c: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), c)
+    `parent` is the node's count, `used` the coordinates of the path as bits. A node takes one coordinate of each part of
+    those that its path has not used, by its own hash.
+    """
+    part = (COORDS - level) // branches
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node, used = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 2))
+        sig = _matrix(batch.column(4))
+        free = (used[:, None] >> np.arange(COORDS, dtype=np.uint64)) & np.uint64(1) == 0
+        nth = np.cumsum(free, axis=1, dtype=np.int8)
+        for slot in range(branches):
+            want = slot * part + (mix(node + np.uint64(slot)) % np.uint64(part)).astype(np.int64)
+            c = ((nth == want[:, None] + 1) & free).argmax(1)
+            child = mix(mix(node ^ mix((c + 1).astype(np.uint64))) ^ sig[np.arange(len(c)), c].view(np.uint32))
+            bits = used | (np.uint64(1) << c.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(child.view(np.int64)), batch.column(1), pa.array(bits.view(np.int64))], names=["id", "node", "parent", "used"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(len(column), -1)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches; one byte in 256 agrees by chance."""
+    whole = (x[..., :COORDS] == y[..., :COORDS]).sum(-1)
+    last = (x[..., COORDS:].view(np.uint8) == y[..., COORDS:].view(np.uint8)).sum(-1)
+    return (whole + (last * 256 - BYTES) / 255) / (COORDS + BYTES)
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, root) of every vertex of the edges, root the smallest of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        m = np.minimum(root[x], root[y])
+        new = root.copy()
+        for target in (root[x], root[y]):
+            np.minimum.at(new, target, m)
+        while True:
+            jumped = new[new]
+            if (jumped == new).all():
+                break
+            new = jumped
+        root = new
+        open_ = root[x] != root[y]
+        x, y = x[open_], y[open_]
+    return ids, ids[root]
+
+
+def _links(a: np.ndarray, b: np.ndarray, sim: np.ndarray, sure: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, sure): a star for each component of the sure pairs, and the doubtful pairs that none of them joins."""
+    if not len(a):
+        return
+    ok = sim >= sure
+    ids, root = stars(a[ok], b[ok])
+    a, b = a[~ok], b[~ok]
+    if len(ids):
+        of = lambda v: np.where(ids[k := np.minimum(np.searchsorted(ids, v), len(ids) - 1)] == v, root[k], v)
+        apart = of(a) != of(b)
+        a, b = a[apart], b[apart]
+    hang = ids != root
+    left, right = np.concatenate([root[hang], np.minimum(a, b)]), np.concatenate([ids[hang], np.maximum(a, b)])
+    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(np.arange(len(left)) < hang.sum())], names=["a", "b", "sure"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut anew so that no value of it stands in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        if key[0] != key[-1] or (held and held[-1].column(0)[-1].as_py() != key[0]):  # a run ends in this batch
+            end = 0 if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
+            done = [*held, batch.slice(0, end)]
+            held = []
+            yield pa.concat_batches(done)
+            batch = batch.slice(end)
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure: float) -> Iterator[pa.RecordBatch]:
-    """Rows (node, id, sig) sorted by node to pairs (a, b, sim) of estimated similarity low or more.
+    """Rows (node, id, sig) sorted by node to links (a, b, sure) of estimated similarity low or more.
 
     A node of at most `leaf` rows is compared pair by pair. A larger one is searched from one
     document after another: each looks for its partners among those not yet reached, so that a
     node of copies takes one round.
     """
 
-    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Estimated similarity; one byte in 256 agrees by chance."""
-        whole = (x[..., :COORDS] == y[..., :COORDS]).sum(-1)
-        last = (x[..., COORDS:].view(np.uint8) == y[..., COORDS:].view(np.uint8)).sum(-1)
-        return (whole + (last * 256 - BYTES) / 255) / (COORDS + BYTES)
-
     def pairs(node: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         cut = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         size = np.diff(np.append(cut, len(node)))
@@ -171,57 +253,74 @@ def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure
                     reach += todo[sim >= sure].tolist()
                     todo = todo[sim < sure]  # a doubtful partner may have a surer one
 
-    def sent(node: np.ndarray, ids: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a, b, sim in pairs(node, ids, sig):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim.astype(np.float32))], names=["a", "b", "sim"])
+    for run in _runs(batches):
+        node, ids = (run.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        found = list(pairs(node, ids, _matrix(run.column(2))))
+        if found:
+            yield from _links(*(np.concatenate(x) for x in zip(*found, strict=True)), sure)
+
+
+def compare_rectangles(batches: Iterator[pa.RecordBatch], low: float, sure: float) -> Iterator[pa.RecordBatch]:
+    """Rows (rectangle, id, root, left, sig) sorted by rectangle to links between its left rows and the others of another root."""
+    for run in _runs(batches):
+        key, ids, root = (run.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        left, sig = run.column(3).to_numpy(zero_copy_only=False), _matrix(run.column(4))
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for lo, hi in zip(cut, np.append(cut[1:], len(key)), strict=True):
+            mine, others = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(~left[lo:hi])
+            found = []
+            for x in mine:
+                at = others[root[others] != root[x]]
+                sim = alike(sig[at], sig[x])
+                ok = sim >= low
+                found.append((np.full(ok.sum(), ids[x]), ids[at[ok]], sim[ok]))
+            if found:
+                yield from _links(*(np.concatenate(x) for x in zip(*found, strict=True)), sure)
+
 
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        sig = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(node), _WIDTH)
-        if node[0] != node[-1] or (held and held[-1][0][-1] != node[0]):  # a node ends in this batch
-            end = 0 if node[0] == node[-1] else int(np.flatnonzero(node != node[-1])[-1]) + 1
-            held.append((node[:end], ids[:end], sig[:end]))
-            yield from sent(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held = []
-            node, ids, sig = node[end:], ids[end:], sig[end:]
-        held.append((node, ids, sig))
-    if held:
-        yield from sent(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        v, u = stars(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
+        hang = v != u
+        yield pa.RecordBatch.from_arrays([pa.array(v[hang]), pa.array(u[hang])], names=["v", "u"])
+
+
+def _merged(df: DataFrame) -> DataFrame:
+    """A join with df is a sort-merge join at every size: a round's small tables do not pile up in the driver as broadcasts."""
+    return df.hint("merge")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     """(id, root) of every vertex of edges (a, b), root the smallest id of its component; and the staged paths.
 
-    Alternates the large-star and small-star steps until no edge moves.
+    Each batch of edges becomes stars first; then the large-star and small-star steps alternate until no edge moves.
     """
     spark = edges.sparkSession
     seen, old = None, None
-    current, path = stage(edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
+    current = edges.select("a", "b").where("a != b").mapInArrow(_stars, "v long, u long").distinct()
     while True:
-        both = current.select("v", "u").union(current.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        mins = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(mins, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        small_min = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(small_min, "v").select(F.col("u"), F.col("m"), F.col("v"))
-        # every smaller neighbour, and v itself, hangs on the smallest
-        small = small.where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).distinct()
-        current, path = stage(small, "edges")
-        now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 24))).alias("s")).first()
+        watch = Observation()
+        current = current.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 24))).alias("s"))
+        current, path = stage(current, "edges")
+        now = (watch.get["n"], watch.get["s"])
         if old:
             release(spark, old)
         old = path
         if now == seen:
             break
         seen = now
+        both = current.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e")).select("e.v", "e.u")
+        mins = _merged(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
+        large = both.where("u > v").join(mins, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        small_min = _merged(large.groupBy("v").agg(F.min("u").alias("m")))
+        # every smaller neighbour, and v itself, hangs on the smallest
+        hung = large.join(small_min, "v").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.u").alias("v"), F.col("e.m").alias("u"))
+        current = hung.where("u != v").distinct()
     roots = current.select(F.col("v").alias("id"), F.col("u").alias("root"))
     return roots.union(roots.select(F.col("root").alias("id"), "root").distinct()), [path]
 
 
-def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int, most: int) -> DataFrame:
     """(id, sorted distinct shingle hashes) of the documents named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +331,7 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             out = [np.unique(h[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "hs"])
 
-    few = ids.count() <= MAX_BROADCAST_IDS
+    few = ids.count() <= most
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, hs binary")
 
 
@@ -246,10 +345,66 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
 
+def _search(spark, reps: DataFrame, trees: int, branches: int, leaf: int, block: int, low: float, sure: float) -> tuple[DataFrame, list[str]]:
+    """Links (a, b, sure) among the sketched rows (id, sig), and the staged paths."""
+    links, paths, lists = "a long, b long, sure boolean", [], []
+    entries, pool, branching = reps.select("id", "sig").mapInArrow(lambda it: _root_children(it, trees, branches), "id long, node long, parent long, used long"), reps.select("id", "sig"), None
+    for level in range(LEVELS):
+        counts = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"), F.max("used").alias("used")).where("n > 1")
+        final = F.lit(level == LEVELS - 1) | (F.col("n") <= leaf) | F.coalesce(F.col("n") * 10 > F.col("parent") * 7, F.lit(False))
+        watch = Observation()
+        live = entries.select("node", "id").join(_merged(counts.select("node", "n", "used", final.alias("final"))), "node")
+        live = live.observe(watch, F.count_if(~F.col("final")).alias("more"), F.count_if(F.col("final") & (F.col("n") > leaf)).alias("large"), F.max("n").alias("most"))
+        live, p = stage(live, "nodes")
+        lists.append((live, watch.get["large"], watch.get["most"]))
+        paths.append(p)
+        if not watch.get["more"]:
+            break
+        before = branching
+        rows, branching = stage(live.where("NOT final").join(_merged(pool), "id").select("node", "n", "used", "id", "sig"), "branching")
+        if before:
+            release(spark, before)
+        entries = rows.mapInArrow(lambda it, k=level + 1: _children(it, k, branches), "id long, node long, parent long, used long")
+        pool = rows.select("id", "sig").dropDuplicates(["id"])  # the next level needs no other sketches
+    if branching:
+        release(spark, branching)
+    done = lists[0][0].where("final")
+    for more, _, _ in lists[1:]:
+        done = done.union(more.where("final"))
+    # a large node is so many blocks; a small one is compared whole
+    blocks = F.when(F.col("n") > leaf, F.ceil(F.col("n") / block)).otherwise(F.lit(1)).cast("long")
+    at = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    done = done.select("node", "id", "n", blocks.alias("blocks"))
+    keyed = done.select(F.when(F.col("blocks") > 1, F.xxhash64("node", at)).otherwise(F.col("node")).alias("key"), "id").join(_merged(reps.select("id", "sig")), "id").select("key", "id", "sig")
+    found, p = stage(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda it: compare_nodes(it, leaf, low, sure), links), "links")
+    paths.append(p)
+    if not any(large and most > block for _, large, most in lists):
+        return found, paths
+    # nodes of several blocks: what is outside the largest component meets every block
+    roots, p = components(found.where("sure"))
+    paths += p
+    wide = done.where("blocks > 1").join(_merged(roots), "id", "left").select("node", "id", "blocks", F.coalesce("root", "id").alias("root"))
+    wide, p = stage(wide, "wide")
+    paths.append(p)
+    most = wide.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"), F.first("blocks").alias("blocks")).groupBy("node").agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("minor")).where("minor > 0")
+    rows = wide.join(_merged(most), "node").withColumn("lefts", F.ceil(F.col("minor") / (4 * block)).cast("long")).withColumn("h", F.xxhash64("id", F.lit(1)))
+    to = lambda left: F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks" if left else "lefts") - 1), lambda k: F.struct(
+        F.xxhash64("node", *((F.pmod("h", "lefts"), k) if left else (k, F.pmod(F.xxhash64("id"), F.col("blocks"))))).alias("key"), F.lit(left).alias("left")))
+    sent = rows.withColumn("to", F.explode(F.concat(to(False), F.when(F.col("root") != F.col("main"), to(True)).otherwise(F.array().cast("array<struct<key:bigint,left:boolean>>")))))
+    sent = sent.select("to.key", "id", "root", "to.left").join(_merged(reps.select("id", "sig")), "id").select("key", "id", "root", "left", "sig")
+    across, p = stage(sent.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda it: compare_rectangles(it, low, sure), links), "across")
+    paths.append(p)
+    return found.union(across), paths
+
+
 def near_groups(
-    docs: DataFrame, *, threshold: float = 0.5, shingle: int = 3, branches: int = 3, recall: float = 0.99, leaf: int = 128, id_col: str = "doc_id", text: str = "text",
+    docs: DataFrame, *, threshold: float = 0.5, shingle: int = 3, branches: int = 3, recall: float = 0.99, leaf: int = 128, block: int = 4096, id_col: str = "doc_id", text: str = "text",
+    max_broadcast_ids: int = MAX_BROADCAST_IDS,
 ) -> DataFrame:
-    """(doc_id, group_id) of every document in a group of two or more; group_id is the group's smallest doc_id."""
+    """(doc_id, group_id, n_links) of every document in a group of two or more.
+
+    group_id is the group's smallest doc_id, n_links the number of other documents that links, direct or through others, join it to.
+    """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t__")).where("id IS NOT NULL AND t__ IS NOT NULL")
     sketched, p_sketch = stage(narrow.mapInArrow(lambda it: sketches(it, shingle), "id long, h1 long, h2 long, sig array<int>"), "sketch")
@@ -258,52 +413,26 @@ def near_groups(
     # the first of each set of copies stands for all; the sets are never gathered
     reps, p_reps = stage(sketched.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")), "reps")
     firsts = reps.select("h1", "h2", F.col("id").alias("rep"))
-    copies, p_copies = stage(sketched.select("id", "h1", "h2").join(firsts, ["h1", "h2"]).where("id != rep").select("id", "rep"), "copies")
+    copies, p_copies = stage(sketched.select("id", "h1", "h2").join(_merged(firsts), ["h1", "h2"]).where("id != rep").select("id", "rep"), "copies")
     release(spark, p_sketch)
 
     margin = 3 * (threshold * (1 - threshold) / (COORDS + BYTES)) ** 0.5
     low, sure = threshold - margin, threshold + margin
-    trees = trees_for(threshold, branches, recall)
-    found, paths = [], []
-    root = reps.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("used"), "id", "sig")
-    entries, pool = _children(root, 0, branches), reps.select("id", "sig")
-    for level in range(LEVELS):
-        counts = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"), F.max("used").alias("used")).where("n > 1")
-        final = F.lit(level == LEVELS - 1) | (F.col("n") <= leaf) | F.coalesce(F.col("n") * 10 > F.col("parent") * 7, F.lit(False))
-        live = entries.select("node", "id").join(counts.select("node", "n", "used", final.alias("final")), "node")
-        with_sig, p = stage(live.join(pool, "id").select("node", "id", "n", "used", "final", "sig"), "nodes")
-        pairs = (
-            with_sig.where("final").select("node", "id", "sig").repartition("node").sortWithinPartitions("node", "id")
-            .mapInArrow(lambda it: compare_nodes(it, leaf, low, sure), "a long, b long, sim float")
-        )
-        got, q = stage(pairs.groupBy("a", "b").agg(F.max("sim").alias("sim")), "pairs")
-        found.append(got)
-        paths.append(q)
-        if level < LEVELS - 1:
-            entries = _children(with_sig.where("NOT final"), level + 1, branches)
-            pool = with_sig.where("NOT final").select("id", "sig").dropDuplicates(["id"])  # the next level needs no other sketches
-        if level:
-            release(spark, p_before)  # noqa: F821
-        p_before = p
-        if level == LEVELS - 1 or with_sig.where("NOT final").isEmpty():
-            break
-    release(spark, p_before)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    roots, p_roots = components(pairs.where(F.col("sim") >= sure).select("a", "b"))
-    doubtful = pairs.where(F.col("sim") < sure).select("a", "b").distinct()
+    pairs, paths = _search(spark, reps, trees_for(threshold, branches, recall), branches, leaf, block, low, sure)
+    roots, p_roots = components(pairs.where("sure"))
+    doubtful = pairs.where("NOT sure").select("a", "b").distinct()
     ra, rb = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-    doubtful = doubtful.join(ra, "a", "left").join(rb, "b", "left").where("ra IS NULL OR rb IS NULL OR ra != rb").select("a", "b")
+    doubtful = doubtful.join(_merged(ra), "a", "left").join(_merged(rb), "b", "left").where("ra IS NULL OR rb IS NULL OR ra != rb").select("a", "b")
     doubtful, p_doubt = stage(doubtful, "doubtful")
-    ids = doubtful.select(F.col("a").alias("id")).union(doubtful.select(F.col("b").alias("id"))).distinct()
-    sets, p_sets = stage(_sets(narrow, ids, shingle).groupBy("id").agg(F.min("hs").alias("hs")), "sets")
+    ids = doubtful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets, p_sets = stage(_sets(narrow, ids, shingle, max_broadcast_ids).groupBy("id").agg(F.min("hs").alias("hs")), "sets")
     x, y = sets.select(F.col("id").alias("a"), F.col("hs").alias("x")), sets.select(F.col("id").alias("b"), F.col("hs").alias("y"))
-    exact = doubtful.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
+    exact = doubtful.join(_merged(x), "a").join(_merged(y), "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
     edges = roots.where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b")).union(exact.select("a", "b")).union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     groups, _ = components(edges)
     release(spark, p_reps, p_copies, p_doubt, p_sets, *paths, *p_roots)
-    return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    sizes = groups.groupBy("root").agg((F.count(F.lit(1)) - 1).alias("n_links"))
+    return groups.join(_merged(sizes), "root").select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), "n_links")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -314,7 +443,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     id_col, text = options.get("id_col", "doc_id"), options.get("text", "text")
     drop_c, twice_c, rank_c = (spare(docs.columns, x) for x in ("drop__", "twice__", "rank__"))
     drop = near_groups(docs, **options).where("doc_id != group_id").select(F.col("doc_id").alias(drop_c))
-    kept = docs.join(drop, docs[id_col].cast("long") == drop[drop_c], "left_anti")
+    kept = docs.join(_merged(drop), docs[id_col].cast("long") == drop[drop_c], "left_anti")
     twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(twice_c)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(twice_c)
     if twice.isEmpty():
         return kept

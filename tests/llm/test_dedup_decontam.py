@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -62,14 +63,32 @@ def corpus(seed=1):
     return list(enumerate(out))
 
 
-def test_groups_against_brute_force(spark):
+@pytest.mark.parametrize("options", [{"leaf": 32}, {"leaf": 8, "block": 16, "max_broadcast_ids": 0}])
+def test_groups_against_brute_force(spark, options):
     texts = corpus()
     expected, pairs = brute_groups(texts)
-    got = {r.doc_id: r.group_id for r in chosen_path.near_groups(docs_of(spark, texts), leaf=32).collect()}
+    rows = chosen_path.near_groups(docs_of(spark, texts), **options).collect()
+    got = {r.doc_id: r.group_id for r in rows}
     found = sum(got.get(a) is not None and got.get(a) == got.get(b) for a, b in pairs)
-    assert found >= 0.95 * len(pairs)
+    assert found >= 0.98 * len(pairs)
     assert all(expected.get(i) == g for i, g in got.items()) or found < len(pairs)
     assert all(i in expected for i in got)
+    sizes = Counter(got.values())
+    assert all(r.n_links == sizes[r.group_id] - 1 for r in rows)
+
+
+def test_a_node_of_many_blocks_joins_whom_it_should(spark):
+    rng = random.Random(5)
+    hot, texts = words(rng, 100), []
+    for k in range(400):  # one cluster of 300 alike texts, 50 pairs that share six tenths of it: below the threshold with it, above with each other
+        if k < 300:
+            texts.append((k, " ".join(x if rng.random() > 0.01 else f"y{k}" for x in hot)))
+        else:
+            own = (k - 300) // 2
+            texts.append((k, " ".join([*hot[:60], *(f"p{own}x{i}" for i in range(30)), *(f"q{k}x{i}" for i in range(12))])))
+    expected, _ = brute_groups(texts)
+    got = {r.doc_id: r.group_id for r in chosen_path.near_groups(docs_of(spark, texts), leaf=4, block=32).collect()}
+    assert got == expected and len(set(expected.values())) == 51
 
 
 def test_copies_and_edge_cases(spark):
