@@ -15,13 +15,18 @@ texts only are kept. Columns other than the four are ignored. An empty
 table gives an empty result.
 
 Scale: one shuffle gathers each conversation in a row (turns are a conversation's
-own, so a row is as long as one conversation); prefix hashes are 16-byte digests,
-shuffled once for the anti-join. The chain is SHA-256, so equal hashes are taken
-for equal prefixes.
+own, so a row is as long as one conversation) and leaves its prefix hashes, 16-byte digests, in a staged table
+without texts; they are shuffled once for the anti-join. Turns of the conversations kept are gathered again
+and rendered. The chain is SHA-256, so equal hashes are taken
+for equal prefixes; it takes time in proportion to the turns.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,28 +37,34 @@ def _render(t: Column) -> Column:
     return F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n"))
 
 
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, turns) to (conv_id, hash of the whole, hashes of its proper prefixes)."""
+    for batch in batches:
+        ends, proper = [], []
+        for turns in batch.column(1).to_pylist():
+            h, chain = b"", []
+            for t in turns:
+                # the role's length keeps the border between role and text
+                h = hashlib.sha256(h + f"|{len(t['role'])}|{t['role']}".encode("utf-8", "surrogatepass") + t["text"].encode("utf-8", "surrogatepass")).digest()[:16]
+                chain.append(h)
+            ends.append(chain.pop())
+            proper.append(chain)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.binary()), pa.array(proper, pa.list_(pa.binary()))], names=["conv_id", "h", "prefixes"])
+
+
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered) of each conversation that no other one continues."""
     rows = turns.where(F.col("conv_id").isNotNull()).select(
         "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    # the role's length keeps the border between role and text
-    link = lambda h, t: F.substring(F.sha2(F.concat(h, F.lit("|"), F.length(t["role"]).cast("string"), F.lit("|"), t["role"], t["text"]), 256), 1, 32)
-    start = F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("all"))
-
-    def step(acc: Column, t: Column) -> Column:
-        h = link(acc["h"], t)
-        return F.struct(h.alias("h"), F.concat(acc["all"], F.array(h)).alias("all"))
-
-    hashed, _ = stage(whole.select("conv_id", F.size("turns").alias("n_turns"), "turns", F.aggregate("turns", start, step)["all"].alias("prefixes")), "chat")
-    last = F.element_at("prefixes", -1)
-    ends = hashed.select("conv_id", last.alias("h"))
-    first = ends.groupBy("h").agg(F.min("conv_id").alias("conv_id"))
-    proper = hashed.select(F.explode(F.slice("prefixes", F.lit(1), F.col("n_turns") - 1)).alias("h")).distinct()
+    whole = lambda df: df.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    hashed, _ = stage(whole(rows).mapInArrow(_chains, f"conv_id {kind}, h binary, prefixes array<binary>"), "chat")
+    first = hashed.groupBy("h").agg(F.min("conv_id").alias("conv_id"))
+    proper = hashed.select(F.explode("prefixes").alias("h")).distinct()
     kept = first.join(proper, "h", "left_anti").select("conv_id")
     text = F.array_join(F.transform("turns", _render), "")
-    return hashed.join(kept, "conv_id", "left_semi").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), text.alias("rendered"))
+    return whole(rows.join(kept, "conv_id", "left_semi")).select("conv_id", F.size("turns").cast("long").alias("n_turns"), text.alias("rendered"))
 
 
 def op7_chat_snapshots(spark, sf_dir: str) -> DataFrame:

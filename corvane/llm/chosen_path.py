@@ -237,7 +237,7 @@ def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure
             live = live[rest[live] > k]
             if not len(live):
                 break
-            for at in np.array_split(live, len(live) // 65536 + 1):
+            for at in np.array_split(live, len(live) // 16384 + 1):
                 sim = alike(sig[at], sig[at + k])
                 ok = sim >= low
                 yield ids[at[ok]], ids[at[ok] + k], sim[ok]
@@ -247,7 +247,7 @@ def compare_nodes(batches: Iterator[pa.RecordBatch], leaf: int, low: float, sure
                 reach, todo = [todo[0]], todo[1:]
                 while reach and len(todo):
                     x = reach.pop()
-                    sim = np.concatenate([alike(sig[t], sig[x]) for t in np.array_split(todo, len(todo) // 65536 + 1)])
+                    sim = np.concatenate([alike(sig[t], sig[x]) for t in np.array_split(todo, len(todo) // 16384 + 1)])
                     ok = sim >= low
                     yield np.full(ok.sum(), ids[x]), ids[todo[ok]], sim[ok]
                     reach += todo[sim >= sure].tolist()

@@ -48,16 +48,19 @@ def spare(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+LEAST = 500  # rows of either class that a sample gets even if the class is rare
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int, text: str = "text") -> DataFrame:
     """(t, y): at most `bound` labelled texts, by hash order of doc_id (a uniform sample that no file order moves), in one partition.
 
-    Rows with a null id, label or text are left out; a repeated id counts once.
+    If a class has fewer than LEAST rows in it, its next ones in that order fill up to as many.
+    Rows with a null id, label or text are left out; a repeated id counts once, by its smallest text.
     """
-    pick = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
-        .groupBy("doc_id").agg(F.max(target).cast("int").alias("y__"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    )
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y__"))
+    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    least = min(LEAST, bound // 2)
+    pick = first(known, bound).union(first(known.where("y__ > 0"), least)).union(first(known.where("y__ <= 0"), least)).distinct()
     # the sample is bounded by a parameter, so its broadcast does not grow with the corpus
     rows = (
         docs.select("doc_id", F.col(text).alias("t__")).where(F.col("t__").isNotNull())

@@ -3,11 +3,13 @@
 Words are folded runs of letters, marks and numbers, so punctuation, case, line
 breaks and separators do not hide a passage. Every window of `n` words of every
 text is hashed and looked up; each hit is verified word by word. Words inside a
-verified window are flagged. A text of which more than `drop_share` is flagged is
+verified window are flagged. In scripts without spaces a letter is a word of the window but
+stands for a half (Han, kana) or a quarter (Thai and the like) of one: a run of flagged words counts if
+it stands for as many words as its window has, so 16 Han characters or 32 Thai letters are needed where others need 8 words. A text of which more than `drop_share` is flagged is
 removed; otherwise each flagged run is cut out, from its first word to the word
 after it (so the separators behind it go too).
 
-Defined cases: null and empty texts hold no words and are kept as they are. A
+Defined cases: null and empty texts hold no words and are kept as they are; very long texts are scanned whole. A
 test item of fewer than `n` words is looked up whole if it has `min_words` or
 more, and ignored below. Null items are ignored; an empty benchmark changes
 nothing. Repeated rows are each treated alike. Extra columns pass through; the
@@ -59,7 +61,7 @@ class NgramSet:
 
     def flagged(self, scan: Scan) -> np.ndarray:
         """For each word of the scan, whether a verified window covers it."""
-        words, hit = scan.word_hashes(), np.zeros(len(scan.ws) + 1, np.int32)
+        words, flags, share = scan.word_hashes(), np.zeros(len(scan.ws), bool), scan.weights()
         for size, known in self.sorted.items():
             h = shingle_hashes(words, size)
             if not len(h):
@@ -68,11 +70,18 @@ class NgramSet:
             at = at[scan.doc[at] == scan.doc[at + size - 1]]
             place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
             at = at[known[place] == h[at]]
+            hit = np.zeros(len(scan.ws) + 1, np.int32)
             for k in at:
                 if " ".join(scan.words(k, k + size)) in self.grams[size][int(h[k])]:
                     hit[k] += 1
                     hit[k + size] -= 1
-        return np.cumsum(hit[:-1]) > 0
+            found = np.cumsum(hit[:-1]) > 0
+            if found.any() and (share[found] < 1).any():
+                new = np.append(True, (found[1:] != found[:-1]) | (scan.doc[1:] != scan.doc[:-1]))
+                run = np.cumsum(new) - 1
+                found &= np.bincount(run, weights=share)[run] >= size
+            flags |= found
+        return flags
 
 
 def trimmed(scan: Scan, i: int, flags: np.ndarray) -> str:

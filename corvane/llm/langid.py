@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 One Bloom filter per language, stored bit-sliced: row i of a single table holds,
-as the bits of an integer, which languages have bit i set. The AND of the rows at
+as the bits of one or more integers, which languages have bit i set. The AND of the rows at
 an n-gram's `K` places is the set of all languages that contain the n-gram, in
 one look-up whatever the number of languages. A text's n-grams are looked up, the
 bits are counted per language, the counts are corrected for the filter's false
@@ -13,14 +13,19 @@ side, weighed alike. A language's filter holds the n-grams found in at least
 `min_texts` of its sample texts, and in a share of them that is at least
 `least_rate` of the share in the language that has the n-gram most often.
 
-The sample is at most `bound` labelled rows, by hash order of doc_id; the filters
-(`1 << ROWS` integers) are broadcast and do not grow with the corpus. Scoring is
-one map over the documents without a shuffle.
+(This is narrower than "contained at all": a wrongly labelled text would else bring its n-grams into a
+filter they do not belong to. `least_rate=0` turns it off.)
+
+The sample is at most `bound` labelled documents, by hash order of the id, and up to `LEAST` of each
+language beyond; the filters (`1 << ROWS` masks of 8 bytes for each 64 languages)
+are broadcast and grow with the number of languages, not with the corpus. Scoring is
+one map over the documents without a shuffle; very long texts are looked up whole.
 
 Defined cases: a text without words, null texts included, gets the language
 "und", share 0 and no n-grams; so does any text if there are no labelled rows.
 Equal shares go to the language first in alphabetical order. Null labels are not
-learned from. Repeated rows are each answered alike; other columns are not read.
+learned from. Repeated rows are each answered alike; an id that is repeated counts once in
+the sample, by its smallest text. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import fit_in_task, pieces, table
@@ -40,7 +45,7 @@ from corvane.llm.toxicity import in_chunks
 ROWS, K = 21, 3
 GRAMS = (3, 4)
 SAMPLE = 8000
-MAX_LANGUAGES = 64
+LEAST = 200  # documents of any language that the sample gets even if it is rare
 
 
 def grams(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +66,7 @@ def grams(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Filters:
     languages: list[str]
-    rows: np.ndarray  # (1 << ROWS,) masks
+    rows: np.ndarray  # (1 << ROWS, words of a mask)
     false_rate: np.ndarray  # by language
 
     @classmethod
@@ -69,14 +74,12 @@ class Filters:
         languages = sorted({lang for _, lang in sample})
         if not languages:
             return None
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; a mask holds {MAX_LANGUAGES}")
         counted = []
         for lang in languages:
             texts = [t for t, x in sample if x == lang]
             all_, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             for _, part_texts in in_chunks(texts):  # counts are merged part by part: memory follows the distinct n-grams
-                scan = Scan(pa.array(part_texts, pa.string()))
+                scan = Scan(pa.array(part_texts, pa.string()), solo=False)
                 h, doc = grams(scan)
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
@@ -91,12 +94,12 @@ class Filters:
         for all_, n, texts_ in counted:
             at = np.searchsorted(union, all_)
             most[at] = np.maximum(most[at], n / texts_)
-        rows = np.zeros(1 << ROWS, np.uint64)
+        rows = np.zeros((1 << ROWS, -(-len(languages) // 64)), np.uint64)
         for k, (all_, n, texts_) in enumerate(counted):
             known = all_[(n >= min(min_texts, texts_)) & (n / texts_ >= least_rate * most[np.searchsorted(union, all_)])]
             for at in cls.places(known):
-                rows[at] |= np.uint64(1 << k)
-        bits = np.array([((rows >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+                rows[at, k // 64] |= np.uint64(1 << k % 64)
+        bits = np.array([((rows[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))])
         return cls(languages, rows, bits**K)
 
     @staticmethod
@@ -113,23 +116,29 @@ class Filters:
 
     def decide(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language or -1, its corrected share, number of n-grams) of each text."""
-        scan = Scan(texts)
+        scan = Scan(texts, solo=False)
         h, doc = grams(scan)
         masks, n = self.masks(h), np.bincount(doc, minlength=scan.n_docs)
         share = np.zeros((len(self.languages), scan.n_docs))
         for k in range(len(self.languages)):
-            hits = np.bincount(doc[((masks >> np.uint64(k)) & np.uint64(1)).astype(bool)], minlength=scan.n_docs)
+            hits = np.bincount(doc[((masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)], minlength=scan.n_docs)
             f = self.false_rate[k]
             share[k] = np.clip((hits - f * n) / (1 - f) / np.maximum(n, 1), 0, 1) if f < 1 else 0
         best = np.round(share, 6).argmax(0)
         return np.where(n > 0, best, -1), np.where(n > 0, share[best, np.arange(scan.n_docs)], 0), n
 
 
-def fit(docs: DataFrame, *, bound: int = SAMPLE, text: str = "text", lang: str = "lang") -> Filters | None:
-    labelled = docs.select(F.col("doc_id").alias("id__"), F.col(text).alias("t"), F.col(lang).alias("l")).where("id__ IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
-    pick = labelled.select(F.col("id__").alias("pick__")).distinct().orderBy(F.xxhash64("pick__"), "pick__").limit(bound)
-    sample = labelled.join(F.broadcast(pick), F.col("id__") == F.col("pick__")).repartition(1).sortWithinPartitions(F.xxhash64("id__"), "id__", "t").select("t", "l")
-    return fit_in_task(sample, Filters.build)
+def fit(docs: DataFrame, *, bound: int = SAMPLE, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Filters | None:
+    labelled = docs.select(F.col(id_col).alias("id__"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("id__ IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
+    # a document repeated in many rows is one, of its smallest language
+    known = labelled.groupBy("id__").agg(F.min("l").alias("l"))
+    order = (F.xxhash64("id__"), F.col("id__"))
+    some = known.orderBy(*order).limit(bound)
+    # each task sends at most LEAST rows of a language
+    each = known.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("k") <= LEAST).drop("k")
+    pick = some.union(each).select(F.col("id__").alias("pick__")).distinct()
+    sample = labelled.join(F.broadcast(pick), F.col("id__") == F.col("pick__")).groupBy("id__").agg(F.min("t").alias("t"), F.min("l").alias("l"))
+    return fit_in_task(sample.repartition(1).sortWithinPartitions(*order).select("t", "l"), Filters.build)
 
 
 def identify(docs: DataFrame, filters: Filters | None, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -21,10 +21,13 @@ one whose weights are all 0. Repeated rows are laid out
 one after another, each with its own place. Ties of the pseudo-random order go by
 doc_id. Extra columns pass through. Empty tables give an empty result.
 
-Scale: no window runs over a source. Each source is cut into buckets by a hash, a
+Very long texts count like others; rows of a null id share one hash, so they
+are one bucket of their source.
+
+Scale: no window runs over a source. Tokens are counted once, in a staged table. Each source is cut into buckets by a hash, a
 small table of buckets (sources x 4096 at most) is summed up, and the running sum
-of a bucket starts at its offset; so a hot source is 4096 tasks' work, not one's.
-Texts move twice: to their bucket and to their range.
+of a bucket starts at its offset, joined on the partitioning that the window has already; so a hot source is 4096 tasks' work, not one's.
+Texts move twice: to their bucket and to their range. One row for each source comes to the driver.
 """
 
 from __future__ import annotations
@@ -65,7 +68,7 @@ def token_count(text: str) -> Column:
 
 def mix_sources(
     docs: DataFrame, schedule: Schedule, *, budget: int | None = None, text: str = "text", source: str = "source", id_col: str = "doc_id", bucket_digits: int = 3,
-    with_text: bool = True, max_broadcast_buckets: int = 1_000_000,
+    with_text: bool = True,
 ) -> DataFrame:
     """docs with epoch, position (0..1) and n_tokens, sorted by position; without text if with_text is false."""
     spark = docs.sparkSession
@@ -74,27 +77,29 @@ def mix_sources(
     # working columns, under names that no column of docs has
     h, b, src, run, mid, want, seg = (spare(docs.columns, f"mix_{x}__") for x in ("hash", "bucket", "source", "run", "mid", "want", "seg"))
     s_, b_, before, z_, supply_, segs, demand = (spare(docs.columns, f"mix_{x}__") for x in ("s", "b", "before", "z", "supply", "segs", "demand"))
-    prepared = (
+    # a null source is a key like any other
+    key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    prepared, _ = stage(
         docs.withColumn(n, token_count(text)).where(F.col(n) > 0)
-        .withColumn(h, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn(b, F.substring(h, 1, bucket_digits)).withColumn(src, F.col(source).cast("string"))
-    ).select(*cols, n, h, b, src)
+        .withColumn(h, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn(b, F.substring(h, 1, bucket_digits)).withColumn(src, key)
+        .select(*cols, n, h, b, src), "counted",
+    )
     sums, _ = stage(prepared.groupBy(F.col(src).alias(s_), F.col(b).alias(b_)).agg(F.sum(n).alias("tokens")), "mixing")
     # sources are few (a domain list); their number, not the documents', is what comes to the driver
-    supply = {r[0]: r[1] for r in sums.groupBy(s_).agg(F.sum("tokens").alias("tokens")).collect()}
+    supply = {r[0][1:] if r[0] else None: r[1] for r in sums.groupBy(s_).agg(F.sum("tokens").alias("tokens")).collect()}
     total = budget if budget is not None else sum(supply.values())
     by_source = shares(schedule, sorted(supply, key=lambda s: (s is not None, s or "")))
     parts: dict[str | None, list[tuple]] = {}
     for s, *segment in by_source:
         parts.setdefault(s, []).append(tuple(segment))
-    rows = [(s, supply[s], p, total * sum((x[2] + x[3]) / 2 * (x[1] - x[0]) for x in p)) for s, p in parts.items()]
+    rows = [("" if s is None else "=" + s, supply[s], p, total * sum((x[2] + x[3]) / 2 * (x[1] - x[0]) for x in p)) for s, p in parts.items()]
     per_source = spark.createDataFrame(rows, f"{z_} string, {supply_} long, {segs} array<struct<t0:double,t1:double,p:double,q:double,done:double>>, {demand} double")
     offsets = sums.withColumn(before, F.sum("tokens").over(Window.partitionBy(s_).orderBy(b_)) - F.col("tokens")).drop("tokens")
-    # sources x 16**bucket_digits rows at most; narrow, and broadcast only if they are few
-    few = len(supply) * 16**bucket_digits <= max_broadcast_buckets
     order = Window.partitionBy(src, b).orderBy(h, id_col)
     laid = prepared.withColumn(run, F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    placed = laid.join(F.broadcast(offsets) if few else offsets, F.col(src).eqNullSafe(F.col(s_)) & (F.col(b) == F.col(b_)))
-    placed = placed.join(F.broadcast(per_source) if len(supply) <= max_broadcast_buckets else per_source, F.col(src).eqNullSafe(F.col(z_)))
+    # the window's partitioning is the join's: only the small side moves
+    placed = laid.join(offsets.hint("merge"), (F.col(src) == F.col(s_)) & (F.col(b) == F.col(b_)))
+    placed = placed.join(F.broadcast(per_source) if len(rows) <= 10_000 else per_source, F.col(src) == F.col(z_))
     placed = placed.withColumn(mid, F.col(before) + F.col(run) - F.col(n) / 2).where((F.col(demand) > 0) & (F.col(mid) < F.col(demand)))
     last_epoch = F.ceil((F.col(demand) - F.col(mid)) / F.col(supply_)).cast("int") - 1
     epochs = placed.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), last_epoch))))

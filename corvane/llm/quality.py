@@ -15,13 +15,13 @@ For `documents`, which have no URL, the host is the source and the path its
 language section; with a URL column, host and first path segment are taken from it.
 
 The sample of the classifier is at most `bound` labelled rows by hash order of
-doc_id (a parameter). The hierarchy counts every document. The text is read by
-two maps (one to sum, one to decide) and never shuffled; what is shuffled is one
+doc_id (a parameter; a rare class gets some more). The hierarchy counts every document. The text is read once,
+by a map whose rows are staged with their evidence, and never shuffled; what is shuffled is one
 row per path and partition. The posteriors are broadcast up to `max_broadcast_paths`
 paths and joined with a shuffle beyond.
 
 Defined cases: null and empty texts get the measures of an empty text and are
-decided like any other. A null host or path counts as a place of its own. Repeated
+decided like any other; very long texts are measured whole. Odds equal to the cut are kept. A null host or path counts as a place of its own. Repeated
 rows count as often as they stand there. Extra columns pass through `keep_good`.
 Without labelled rows of both kinds every score is 0.5 and everything is kept.
 """
@@ -168,48 +168,43 @@ def posteriors(counts: DataFrame) -> DataFrame:
 
 def score_documents(
     docs: DataFrame, model: Logistic | None, *, text: str = "text", url: str | None = None, place_weight: float = 0.3, max_broadcast_paths: int = 100_000,
+    with_text: bool = True,
 ) -> DataFrame:
-    """docs with evidence (log odds of the text), posterior (of the place), quality (0..1) and keep."""
+    """docs with evidence (log odds of the text), posterior (of the place), quality (0..1) and keep; without text if with_text is false."""
     spark, base = docs.sparkSession, docs.columns
     host, path, off, ev, post, quality, keep = (spare(base, c) for c in ("host__", "path__", "offset__", "evidence", "posterior", "quality", "keep"))
     if model is None:
         return docs.select("*", F.lit(0.0).alias(ev), F.lit(0.5).alias(post), F.lit(0.5).alias(quality), F.lit(True).alias(keep))
     shared = spark.sparkContext.broadcast(model)
     h, p = places(docs, url)
+    out = [c for c in base if c != text or with_text]
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            at = batch.schema.get_field_index(text)
-            logit = shared.value.logit(measures(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logit)], names=[*batch.schema.names, ev])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "t__"):
-            logit = shared.value.logit(measures(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-logit)))], names=["host", "path", "p"])
-
-    counts = (
-        docs.select(h.alias("host"), p.alias("path"), F.col(text).alias("t__")).mapInArrow(summed, "host string, path string, p double")
-        # fixed-point sums do not depend on the order of addition
-        .groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.round(F.col("p") * 1_000_000).cast("long")) / 1_000_000.0).alias("good"))
-    )
-    counts, _ = stage(counts, "quality")
-    table_ = posteriors(counts).select(F.col("host").alias(host), F.col("path").alias(path), F.col("posterior").alias(post), F.col("offset").alias(off))
+            logit = shared.value.logit(measures(batch.column(batch.schema.get_field_index(text))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in [*out, host, path]), pa.array(logit)], names=[*out, host, path, ev])
+
+    kinds = T.StructType([*(docs.schema[c] for c in out), T.StructField(host, T.StringType()), T.StructField(path, T.StringType()), T.StructField(ev, T.DoubleType())])
+    scored, _ = stage(docs.withColumns({host: h, path: p}).mapInArrow(evidence, kinds), "evidence")
+    # fixed-point sums do not depend on the order of addition
+    good = F.sum(F.round(1_000_000 / (1 + F.exp(-F.col(ev)))).cast("long")) / 1_000_000.0
+    counts, _ = stage(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count(F.lit(1)).alias("n"), good.alias("good")), "quality")
+    h_, p_ = spare([*base, host, path], "place_host__"), spare([*base, host, path], "place_path__")
+    table_ = posteriors(counts).select(F.col("host").alias(h_), F.col("path").alias(p_), F.col("posterior").alias(post), F.col("offset").alias(off))
     few = counts.count() <= max_broadcast_paths
-    scored = docs.mapInArrow(evidence, T.StructType([*docs.schema, T.StructField(ev, T.DoubleType())]))
-    hit = scored.join(F.broadcast(table_) if few else table_.hint("shuffle_hash"), h.eqNullSafe(F.col(host)) & p.eqNullSafe(F.col(path)))
+    hit = scored.join(F.broadcast(table_) if few else table_.hint("shuffle_hash"), F.col(host).eqNullSafe(F.col(h_)) & F.col(path).eqNullSafe(F.col(p_)))
     odds = F.col(ev) + place_weight * F.col(off)
     cut = float(np.log(model.threshold / (1 - model.threshold)))
-    return hit.select(*[F.col(c) for c in base], F.round(F.col(ev), 6).alias(ev), F.round(F.col(post), 6).alias(post), F.round(1 / (1 + F.exp(-odds)), 6).alias(quality), (odds >= cut).alias(keep))
+    return hit.select(*[F.col(c) for c in out], F.round(F.col(ev), 6).alias(ev), F.round(F.col(post), 6).alias(post), F.round(1 / (1 + F.exp(-odds)), 6).alias(quality), (odds >= cut).alias(keep))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, bound: int = SAMPLE, text: str = "text") -> Logistic | None:
     return fit_in_task(labelled_sample(docs, labels, "quality", bound, text), train)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, bound: int = SAMPLE, text: str = "text", **options) -> DataFrame:
     """docs without those that the classifier rejects."""
-    scored = score_documents(docs, fit(docs, labels), **options)
+    scored = score_documents(docs, fit(docs, labels, bound=bound, text=text), text=text, **options)
     return scored.where(F.col(scored.columns[-1])).select(*docs.columns)
 
 
@@ -217,4 +212,4 @@ def op4_quality(spark, sf_dir: str) -> DataFrame:
     """Evidence, posterior of the place, quality and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs.select("doc_id", "source", "lang", "text"), model).select("doc_id", "source", "lang", "evidence", "posterior", "quality", "keep")
+    return score_documents(docs.select("doc_id", "source", "lang", "text"), model, with_text=False).select("doc_id", "source", "lang", "evidence", "posterior", "quality", "keep")

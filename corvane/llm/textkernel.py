@@ -1,7 +1,8 @@
 """Vectorised scanning of Arrow text columns: code points, words and rolling hashes in numpy.
 
 A word is a maximal run of letters, marks and numbers, folded to lower case one
-code point at a time. Hashes are 64-bit polynomials taken from prefix sums, so a
+code point at a time; in scripts written without spaces (Han, kana, Thai, Lao, Khmer, Burmese, Tibetan) each
+letter with its marks is a word of its own, unless `solo` is false. Hashes are 64-bit polynomials taken from prefix sums, so a
 chunk of texts is scanned without a Python loop over rows, words or characters.
 """
 
@@ -18,6 +19,8 @@ _INV = pow(_BASE, -1, 1 << 64)
 _state: dict[str, np.ndarray] = {}
 
 WORD, SPACE, OTHER = 1, 2, 0
+#: Scripts without spaces between words, and the share of a word that one of their letters stands for.
+SOLO = {0.5: ((0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)), 0.25: ((0x0E01, 0x0EFF), (0x0F40, 0x0FBC), (0x1000, 0x109F), (0x1780, 0x17D3))}
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +41,20 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _state["kind"], _state["lower"]
 
 
+def _shares() -> np.ndarray:
+    """The share of a word that each code point's letter stands for; 0 for a mark in any script, 1 for a letter of other scripts."""
+    if "share" not in _state:
+        share = np.ones(0x110000, np.float32)
+        for value, ranges in SOLO.items():
+            for lo, hi in ranges:
+                share[lo : hi + 1] = value
+        for i in np.flatnonzero(_tables()[0] == WORD):
+            if unicodedata.category(chr(i))[0] == "M":
+                share[i] = 0
+        _state["share"] = share
+    return _state["share"]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "pow" not in _state or len(_state["pow"]) < n:
         m = 1 << max(18, (n - 1).bit_length())
@@ -61,7 +78,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Scan:
     """Code points, words and word hashes of a column of texts (null counts as empty)."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, solo: bool = True) -> None:
         kind, lower = _tables()
         arr = pc.fill_null(texts.cast(pa.large_string()), "")
         n = self.n_docs = len(arr)
@@ -87,8 +104,18 @@ class Scan:
         if total:
             before[0], before[1:] = False, w[:-1]
             after[-1], after[:-1] = False, w[1:]
-        self.ws = np.flatnonzero(w & (cut[:-1] | ~before))
-        self.we = np.flatnonzero(w & (cut[1:] | ~after)) + 1
+        opens, closes = w & (cut[:-1] | ~before), w & (cut[1:] | ~after)
+        if solo and total and int(self.cps.max()) >= 0x0E01:
+            share = _shares()[self.cps]
+            alone, mark = w & (share > 0) & (share < 1), w & (share == 0)
+            # a word begins at such a letter, and at any letter behind one and its marks
+            place = np.arange(total)
+            letter = np.maximum.accumulate(np.where(w & ~mark, place, -1))  # the last letter up to each place
+            behind = np.append(False, (letter[:-1] >= 0) & alone[np.maximum(letter[:-1], 0)])
+            fresh = w & ~mark & (alone | behind)
+            opens |= fresh
+            closes |= w & np.append(fresh[1:], False)
+        self.ws, self.we = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.doc = np.searchsorted(self.start, self.ws, side="right") - 1
         self.n_words = np.bincount(self.doc, minlength=n).astype(np.int64)
         self.first = np.zeros(n + 1, np.int64)  # index of each text's first word
@@ -108,6 +135,13 @@ class Scan:
         _, inv = _powers(len(self.low) + 1)
         return mix((self.sums[hi] - self.sums[lo]) * inv[lo])
 
+    def weights(self) -> np.ndarray:
+        """The share of a word that each word stands for."""
+        if not len(self.ws) or int(self.cps.max()) < 0x0E01:
+            return np.ones(len(self.ws), np.float32)
+        share = _shares()[self.cps[self.ws]]
+        return np.where(share > 0, share, 1)
+
     def word_hashes(self) -> np.ndarray:
         return self.span_hash(self.ws, self.we)
 

@@ -3,26 +3,30 @@
 A text is read as words (folded runs of letters, marks and numbers). Each word
 enters the network by two inputs: a word vector, looked up by the word's hash,
 and a character vector, the sum of the vectors of its character 4- and 6-grams
-with word boundaries. Both tables carry in their first column the word's (or
-n-gram's) surplus among toxic texts, counted on the first part of the sample;
-the other columns, the two recurrent directions, the attention and the output
+with word boundaries. The first column of both tables is set, not learned: the word's (or
+n-gram's) surplus among toxic texts, counted on the first part of the sample, so that
+a word of few examples is not left at its random vector. The other columns of both tables,
+the two recurrent directions, the attention and the output
 are trained by back-propagation on the second part; the threshold is set on the
-third.
+third. What the network adds to the counts is measured in the tests: it tells apart
+texts of the same words in another order, which no count does.
 
-Windows of `WINDOW` words overlap by half and cover the whole text, however
-long; every window is scored and the highest score is the text's. Training is
+Windows of `WINDOW` words, one every `STRIDE`, overlap by half and cover the whole text, however
+long; every window is scored and the highest score is the text's. A passage of up to
+`WINDOW - STRIDE + 1` words is whole in one window. Training is
 multiple-instance: of a toxic text only its highest windows are positive, and
 they are chosen again in every epoch.
 
-The sample is at most `bound` labelled texts, by hash order of doc_id; it is a
-parameter and does not grow with the corpus, nor does the broadcast model. The
+The sample is at most `bound` labelled texts, by hash order of doc_id, and up to `LEAST` more of
+either kind if it is rare; it is a parameter and does not grow with the corpus, nor does the broadcast model. The
 network is trained in one task.
 Scoring is one map over the documents, without a shuffle.
 
 Defined cases: null and empty texts, and texts without words, have no window,
 score 0 and are not toxic. Repeated rows are scored alike, each for itself.
 Extra columns pass through `drop_toxic`. Without labelled texts of both kinds
-nothing can be learned: every score is 0 and nothing is rejected.
+nothing can be learned: every score is 0 and nothing is rejected. A score equal to
+the threshold is toxic; equal windows score alike.
 """
 
 from __future__ import annotations
@@ -184,11 +188,13 @@ class Network:
         if len(doc):
             word_slot, inverse, gram_slot, gram_begin = word_inputs(scan)
             x = self.inputs(word_slot, gram_slot, gram_begin)
-            for lo in range(0, len(doc), 4096):
-                b, s = begin[lo : lo + 4096], size[lo : lo + 4096]
+            by_size = np.argsort(size, kind="stable")  # short texts are not padded to long ones
+            for lo in range(0, len(doc), 2048):
+                at = by_size[lo : lo + 2048]
+                b, s = begin[at], size[at]
                 steps = np.arange(int(s.max()))[:, None]
                 live = steps < s
-                logit[lo : lo + 4096] = self.score(x, inverse[np.where(live, b + steps, b)], live)
+                logit[at] = self.score(x, inverse[np.where(live, b + steps, b)], live)
         if per_window:
             return scan, doc, begin, size, logit
         have = np.flatnonzero(scan.n_words > 0)
@@ -237,7 +243,7 @@ class _Surplus:
 def _choose(net: Network, texts: list[str], truth: np.ndarray, rng: np.random.Generator, by_network: bool) -> dict[str, np.ndarray] | None:
     """The windows of one chunk to train on: the highest of a toxic text, the three highest of another, and some at random.
 
-    Returned with the slots of their words, so that nothing else of the chunk is kept.
+    Returned with the slots of their words and of these words' n-grams, so that nothing else of the chunk is kept.
     """
     scan = Scan(pa.array(texts, pa.string()))
     doc, begin, size = windows(scan.n_words, scan.first)
@@ -262,7 +268,8 @@ def _choose(net: Network, texts: list[str], truth: np.ndarray, rng: np.random.Ge
     chosen = np.unique(np.concatenate([top, extra[truth[doc[extra]] == 0]]))
     live = steps < size[chosen]
     used, at = np.unique(inverse[np.where(live, begin[chosen] + steps, begin[chosen])], return_inverse=True)
-    return {"at": at.reshape(live.shape), "live": live, "y": truth[doc[chosen]], "word": word_slot[used], "char": x[used, DW:]}
+    _, grams = _flat(gram_begin, used)
+    return {"at": at.reshape(live.shape), "live": live, "y": truth[doc[chosen]], "word": word_slot[used], "gram": gram_slot[grams], "grams": np.diff(gram_begin)[used]}
 
 
 def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network | None:
@@ -296,7 +303,7 @@ def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, r
     own = np.flatnonzero((part == 2) | (part == 3))
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
-    sq = np.full(len(net.words), 1e-4, np.float32)
+    sq, sq_char = np.full(len(net.words), 1e-4, np.float32), np.full(len(net.chars), 1e-4, np.float32)
     step = 0
     for epoch in range(epochs):
         found = [f for lo, texts in in_chunks(of(own)) if (f := _choose(net, texts, y[own[lo : lo + len(texts)]], rng, epoch > 0))]
@@ -305,12 +312,18 @@ def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, r
         shift = np.cumsum([0, *[len(f["word"]) for f in found]])
         at = np.concatenate([f["at"] + k for f, k in zip(found, shift, strict=False)], axis=1)
         live, truth = np.concatenate([f["live"] for f in found], axis=1), np.concatenate([f["y"] for f in found])
-        word, char = np.concatenate([f["word"] for f in found]), np.concatenate([f["char"] for f in found])
+        word, gram = np.concatenate([f["word"] for f in found]), np.concatenate([f["gram"] for f in found])
+        gram_begin = np.append(0, np.cumsum(np.concatenate([f["grams"] for f in found])))
         chosen = rng.permutation(len(truth))
         for lo in range(0, len(chosen), batch):
             w = chosen[lo : lo + batch]
             a, on, t = at[:, w], live[:, w], truth[w]
-            xs = np.concatenate([net.words[word[a]], char[a]], axis=2)
+            used, place = np.unique(a, return_inverse=True)
+            owner, flat = _flat(gram_begin, used)
+            char = np.zeros((len(used), DC), np.float32)
+            np.add.at(char, owner, net.chars[gram[flat]])
+            place = place.reshape(a.shape)
+            xs = np.concatenate([net.words[word[a]], char[place]], axis=2)
             g, dx, _ = net.gradients(xs, on, t, np.where(t > 0, 3.0, 1.0).astype(np.float32))
             step += 1
             for k, v in g.items():
@@ -321,6 +334,12 @@ def train(sample: list[tuple[str, int]], *, epochs: int = 6, batch: int = 128, r
             gw, slots = dx[on][:, 1:DW], word[a[on]]
             np.add.at(sq, slots, (gw * gw).sum(1))
             np.add.at(net.words[:, 1:], slots, -0.05 * gw / np.sqrt(sq[slots])[:, None])
+            # and of the n-grams: each gets the gradient of the words it stands in
+            gc = np.zeros((len(used), DC - 1), np.float32)
+            np.add.at(gc, place[on], dx[on][:, DW + 1 :])
+            slots, gc = gram[flat], gc[owner]
+            np.add.at(sq_char, slots, (gc * gc).sum(1))
+            np.add.at(net.chars[:, 1:], slots, -0.02 * gc / np.sqrt(sq_char[slots])[:, None])
 
     # the threshold: amid the widest gap that keeps the most right on the third part (the second, if there is none)
     held = np.flatnonzero(part == 4)

@@ -176,10 +176,27 @@ def test_decontamination_against_brute_force(spark, slices):
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
 
 
+def test_texts_without_spaces(spark):
+    rng = random.Random(8)
+    han, thai = (lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))), (lambda n: "".join(chr(rng.randrange(0x0E01, 0x0E2E)) for _ in range(n)))
+    item, other = han(40), thai(60)
+    bench = spark.createDataFrame([(1, item), (2, other), (3, "one two three four five six seven eight")], "item_id long, text string")
+    a, b, c, d = han(60), han(60), thai(80), thai(80)
+    rows = [(1, a + item[5:30] + b), (2, a + item[5:17] + b), (3, c + other[:40] + d), (4, c + other[:20] + d), (5, item), (6, f"{a} One, two three four five six seven EIGHT {b}")]
+    got = {r.doc_id: r.text for r in decontamination.decontaminate(docs_of(spark, rows), bench).collect()}
+    assert got == {1: a + b, 2: rows[1][1], 3: c + d, 4: rows[3][1], 6: f"{a} {b}"}
+    copies = [(10, a + b + han(20)), (11, a + b + han(20)), (12, han(140)), (13, c + d + thai(20)), (14, c + d), (15, thai(150))]
+    groups = {r.doc_id: r.group_id for r in chosen_path.near_groups(docs_of(spark, copies)).collect()}
+    assert groups == {10: 10, 11: 10, 13: 13, 14: 13}
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     df = spark.createDataFrame([(1, "x a b c d e f g h i y z u v w q r s t", 5), (1, "x a b c d e f g h i y z u v w q r s t", 5), (2, "A-B-C-D-E-F-G-H", 6)], "doc_id long, text string, flags__ int")
     out = decontamination.decontaminate(df, bench, max_set_words=1)
     assert out.columns == df.columns and [r.text for r in out.collect()] == ["x y z u v w q r s t"] * 2
     assert decontamination.decontaminate(df, bench.limit(0)).count() == 3
+    long = " ".join(f"w{i}" for i in range(200_000))
+    out = decontamination.decontaminate(docs_of(spark, [(1, long + " a b c d e f g h i " + long)]), bench).first()
+    assert out.text == long + " " + long and out.n_chars == len(out.text)
     assert decontamination.decontaminate(df.limit(0), bench).count() == 0

@@ -63,3 +63,33 @@ def test_pipeline_stages(spark):
         docs = kept
     whole = {(r.doc_id, r.epoch, r.position) for r in corpus_pipeline.run(spark, sf).collect()}
     assert whole == {(r.doc_id, r.epoch, r.position) for r in out.collect()}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, null and repeated ids, very long texts, columns named like the ones that mixing adds."""
+    import corpus_pipeline
+    from corvane.llm import common
+
+    sf = str(DATA / "sf0.001")
+    long = " ".join(f"word{i % 977} tail{i % 13}" for i in range(60_000))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = [(None, "a text without an id that is long enough to be read by anyone who cares", "en", "src1", 70), (7001, None, "en", "src1", 0), (7002, "", None, None, 0), (7003, long, "en", None, len(long)),
+           (7004, "one and the same row stands here twice for a test of repeated rows", "en", "src2", 66), (7004, "one and the same row stands here twice for a test of repeated rows", "en", "src2", 66)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "'e' AS epoch", "'p' AS POSITION", "1 AS n_tokens", "2 AS drop__", "3 AS evidence", "4 AS toxic")
+    docs, _ = common.stage(docs, "edges")
+    for name in ("labels", "benchmark", "documents"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for where in (sf, str(tmp_path)):  # with labels and a benchmark, and with empty ones
+        current = docs
+        for name, step in corpus_pipeline.STAGES:
+            out, _ = common.stage(step(spark, current, where), "edge")
+            assert out.columns[: len(docs.columns)] == docs.columns and (name == "mixing") == (len(out.columns) > len(docs.columns))
+            current = out
+            ids = [r.doc_id for r in current.collect()]
+            if name == "near_dedup":
+                assert ids.count(7004) <= 1 and ids.count(None) <= 1
+        if where != sf:
+            assert {7003, 7004, None} <= set(ids) and not {7001, 7002} & set(ids)
+        assert out.columns[-3:] == ["n_tokens_", "epoch_", "position_"]
+    empty = corpus_pipeline.run(spark, str(tmp_path))
+    assert empty.count() == 0 and "position" in empty.columns

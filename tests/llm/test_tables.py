@@ -69,6 +69,9 @@ def test_mixing_edges(spark):
     assert sorted((str(r.doc_id) for r in out), key=str).count("1") >= 2 and all(r.source != "left out" for r in out)
     assert len({r.position for r in out if r.doc_id == 1 and r.epoch == 0}) == 2  # repeated rows have places of their own
     assert mixing.mix_sources(df.limit(0), schedule).count() == 0
+    long = spark.createDataFrame([(1, "w " * 300_000, "x", 0.5, 1), (None, "a", "x", 0.5, 1), (None, "b", "x", 0.5, 1)], "doc_id long, text string, source string, position double, epoch int")
+    out = mixing.mix_sources(long, schedule).collect()
+    assert [r[5] for r in out if r[0] == 1 and r[6] == 0] == [300_000] and len(out) >= 3 and out[0][3] == 0.5
     with pytest.raises(ValueError):
         mixing.shares([(0.0, {}), (0.5, {})], ["a"])
 
@@ -119,11 +122,14 @@ def test_text_lines_of_unclosed_heads():
 def brute_pages(pages):
     import re
 
-    keyed = []
+    keyed, paths = [], {}
     for i, url, page in pages:
         m = re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)(.*)$", url or "", re.S)
         keyed.append((m[1].lower() if m else "", m[2] if m else (url or ""), i, html_diff.text_lines(page)))
-    keyed.sort(key=lambda k: k[:3])
+    for host, path, i, lines in keyed:
+        if lines:
+            rank = (i is not None, i, html_diff._digest(lines))
+            paths[host, path] = min(paths.get((host, path), (rank, lines)), (rank, lines))
 
     def prefix(a, b):
         n = 0
@@ -132,36 +138,51 @@ def brute_pages(pages):
         return n
 
     out = {}
-    for k, (host, path, i, lines) in enumerate(keyed):
-        before = keyed[k - 1] if k and keyed[k - 1][0] == host else None
-        behind = keyed[k + 1] if k + 1 < len(keyed) and keyed[k + 1][0] == host else None
-        p, q = (prefix(path, x[1]) if x else -1 for x in (before, behind))
+    for host, path, i, lines in keyed:
+        others = [(p, x) for (h, p), x in paths.items() if lines and h == host and x[1] != lines]
+        before = max((o for o in others if o[0] < path), default=None)
+        behind = min((o for o in others if o[0] > path), default=None)
+        p, q = (prefix(path, x[0]) if x else -1 for x in (before, behind))
         other = before if p >= q else behind
-        n = lcs(lines, other[3]) if other else 0
-        out[i] = (other[2] if other else None, len(lines), n)
+        n = lcs(lines, other[1][1]) if other else 0
+        out.setdefault(i, set()).add((other[1][0][1] if other else None, len(lines), n))
     return out
 
 
-@pytest.mark.parametrize("large", [5000, 3])
-def test_pages_against_brute_force(spark, large):
+@pytest.mark.parametrize("ranges", [None, 9])
+def test_pages_against_brute_force(spark, ranges):
     rng = random.Random(7)
     pages = []
     for i in range(160):
         host = rng.choice(["a.example", "A.example", "b.example", "c.example"])
         body = "".join(f"<p>{rng.choice(['menu', 'login', 'imprint'])}</p>" for _ in range(3)) + f"<p>own {i}</p><p>foot {host.lower()}</p>"
         pages.append((i, f"http://{host}/{rng.choice(['en', 'de', 'fr'])}/{rng.randrange(99)}", body))
+    pages += [(200 + i, p[1] + rng.choice(["", "?s=1", "/"]), p[2]) for i, p in enumerate(pages[:70])]  # captured again, and mirrored
+    pages += [(300 + i, pages[5][1] + f"/x{i % 9}", pages[5][2]) for i in range(40)]  # runs of equal pages across ranges
+    pages += [(400 + i, f"http://c.example/en/gone{i}", "") for i in range(12)]
     pages += [(900, None, "<p>x</p>"), (901, "no url", None), (902, "http://alone.example/", "<p>all</p><p>kept</p>"), (903, "http://b.example", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = html_diff.difference_pages(df, large_host=large).collect()
-    assert {r.page_id: (r.neighbour_id, r.n_lines, r.n_shared) for r in got} == brute_pages(pages)
+    got = html_diff.difference_pages(df, ranges=ranges).collect()
+    assert len(got) == len(pages)
+    assert {r.page_id: {(r.neighbour_id, r.n_lines, r.n_shared)} for r in got} == brute_pages(pages)
     text = {r.page_id: r.text for r in got}
     assert text[902] == "all\nkept" and text[901] == "" and all(f"own {i}" in text[i] for i in range(160))
+    assert all("own 5" in text[i] for i in range(300, 340)) and all(f"own {i}" in text[200 + i] for i in range(70))
 
 
 def test_repeated_pages_and_empty_table(spark):
-    df = spark.createDataFrame([(1, "http://h/a", "<p>x</p>", 1)] * 2, "page_id long, url string, html string, host int")
-    assert [r.text for r in html_diff.difference_pages(df).collect()] == ["", ""]
+    twice = [(1, "http://h/a", "<p>x</p><p>menu</p>", 1)] * 2 + [(None, "http://h/b", "<p>y</p><p>menu</p>", 2)]
+    df = spark.createDataFrame(twice, "page_id long, url string, html string, host int").toDF("page_id", "url", "html", "lines")
+    assert sorted(r.text for r in html_diff.difference_pages(df).collect()) == ["x", "x", "y"]
     assert html_diff.difference_pages(df.limit(0)).count() == 0
+    none = spark.createDataFrame([(1, "http://h/a", None), (2, "http://h/b", "")], "page_id long, url string, html string")
+    assert [(r.text, r.n_lines) for r in html_diff.difference_pages(none).collect()] == [("", 0)] * 2
+
+
+def test_tags_with_quoted_marks():
+    assert html_diff.text_lines("<p title='a > b' data-x=\"1>0\">Own <a href=x title=\"->\">text</a></p><p class=\"open>next</p>") == ["Own text", "next"]
+    assert html_diff.text_lines("<script data-a='>'>var p = 1</script><div id='>'>One</div>") == ["One"]
+    assert html_diff.text_lines("<a \"" * 3000 + ">x")[-1:] == ["x"]
 
 
 # --- chat
@@ -201,12 +222,12 @@ def test_revisits_against_brute_force(spark):
     rng = random.Random(11)
     recs = []
     for i in range(300):
-        status = rng.choice([200, 304, 404])
+        status = rng.choice([200, 304, 404, 206, 204, 304, 203])
         h = {}
         if rng.random() < 0.7:
             h["ETag"] = rng.choice(['"a"', 'W/"a"', '"b"'])
         if rng.random() < 0.6:
-            h["Last-Modified"] = rng.choice(["mon", "tue"])
+            h[rng.choice(["Last-Modified", "last-modified"])] = rng.choice(["mon", "tue"])
         h |= {"Content-Length": str(i), "X-Id": str(i)} if rng.random() < 0.9 else {}
         recs.append((i, rng.choice(["http://www.a.example/x", "https://A.example:443/x/#f", "http://b.example/?b=2&a=1&utm_source=z", "http://b.example?a=1&b=2"]), rng.randrange(60), status, h, rng.choice([None, "d1", "d2"]), f"body{i}" if status != 304 else None))
     canon = lambda u: "a.example/x" if "xample/x" in u or ":443" in u else "b.example?a=1&b=2"
@@ -214,7 +235,7 @@ def test_revisits_against_brute_force(spark):
     for i, u, ts, st, h, d, _ in recs:
         if st != 304:
             continue
-        earlier = [r for r in recs if r[3] == 200 and canon(r[1]) == canon(u) and r[2] <= ts]
+        earlier = [r for r in recs if r[3] in (200, 203) and canon(r[1]) == canon(u) and r[2] <= ts]
         if not earlier:
             want[i] = (None, "orphan", None)
             continue
@@ -243,23 +264,47 @@ def test_revisit_edges(spark):
     assert revisit.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisit_headers_payloads_and_parameters(spark):
+    long = "x" * 3_000_000
+    recs = [
+        (1, "http://a/?ref=1", 1, 200, {"ETag": '"old"', "etag": '"new"', "X": "1"}, None, long), (2, "http://a/?ref=1", 2, 206, {"ETag": '"new"'}, None, "PART"),
+        (3, "http://a/?ref=1&utm_source=m", 3, 304, {"ETAG": '"new"', "etag": '"new"', "x": "2"}, None, None), (4, "http://a/?ref=2", 3, 304, None, None, None),
+        (5, "http://b", 1, 203, None, None, ""), (6, "http://b", 2, 304, None, None, None), (7, "http://b/?id=1", 1, 200, None, None, "id"), (8, "http://b", 9, 304, None, None, None),
+    ]
+    df = spark.createDataFrame(recs, REC)
+    got = {r.record_id: (r.state, r.headers, r.payload) for r in revisit.resolve_revisits(df).collect()}
+    assert got == {3: ("resolved", 'etag: "new"\nx: 2', long), 4: ("orphan", None, None), 6: ("unvalidated", "", ""), 8: ("unvalidated", "", "")}
+    loose = {r.record_id: r.response_id for r in revisit.resolve_revisits(df, tracking="ref|id|utm_[a-z]+").collect()}
+    assert loose == {3: 1, 4: 1, 6: 7, 8: 7}
+
+
 # --- metric join
 
 
-def brute_pairs(rows, threshold):
-    good = []
+def brute_classes(rows, threshold):
+    """id -> (class, links), and the ids of pairs too near the threshold to tell."""
+    good = {}
     for i, v in rows:
         if i is None or v is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
             continue
-        x = np.array(np.array(v, np.float32), float)
-        good.append((i, x / np.linalg.norm(x)))
-    out = {}
-    for k, (i, x) in enumerate(good):
-        for j, y in good[k + 1 :]:
-            if i != j and len(x) == len(y) and x @ y >= threshold:
-                key = (min(i, j), max(i, j))
-                out[key] = max(out.get(key, -1), x @ y)
-    return out
+        x = np.array(v, np.float32)
+        good[i] = min(good.get(i, (1 << 30, b"")), (len(x), x.tobytes()))
+    unit = {i: (lambda x: x / np.linalg.norm(x))(np.frombuffer(b, np.float32).astype(float)) for i, (_, b) in good.items()}
+    links, root, ids = dict.fromkeys(unit, 0), {i: i for i in unit}, sorted(unit)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(unit[i]) == len(unit[j]) and (good[i] == good[j] or unit[i] @ unit[j] >= threshold):
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (find(i), links[i]) for i in ids}
 
 
 @pytest.mark.parametrize(("threshold", "pivots", "block"), [(0.95, None, 4096), (0.8, 7, 16), (0.5, 20, 40), (-1.0, 3, 50), (0.99, 1, 10)])
@@ -270,23 +315,26 @@ def test_range_join_against_brute_force(spark, threshold, pivots, block):
     rows += [(500 + i, rows[3][1]) for i in range(30)]  # a dense cell of copies
     rows += [(3, rows[4][1]), (None, rows[0][1]), (600, None), (601, []), (602, [0.0] * 8), (603, [float("nan")] * 8), (604, [1.0, 2.0]), (605, [2.0, 4.0]), (606, [1e30] * 8), (607, [None, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r.a, r.b): r.similarity for r in metric_join.near_pairs(df, threshold=threshold, n_pivots=pivots, block=block).collect()}
-    want = brute_pairs(rows, threshold)
-    near = {k for k, s in want.items() if abs(s - threshold) < 1e-9}
-    assert set(got) - near == set(want) - near
-    assert all(abs(got[k] - want[k]) <= 6e-5 for k in set(got) & set(want))
+    got = {r.vec_id: (r.class_id, r.n_links) for r in metric_join.vector_classes(df, threshold=threshold, n_pivots=pivots, block=block).collect()}
+    assert got == brute_classes(rows, threshold)
 
 
-def test_range_join_empty(spark):
+def test_range_join_edges(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, cell int")
-    assert metric_join.near_pairs(df).count() == 0
+    assert metric_join.vector_classes(df).count() == 0
     with pytest.raises(ValueError):
-        metric_join.near_pairs(df, threshold=2.0)
+        metric_join.vector_classes(df, threshold=2.0)
+    # at exactly the threshold; repeated rows; 3,000 dimensions; an id of two dimensions
+    wide = [float(i % 7 + 1) for i in range(3000)]
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (2, [3.0, 4.0]), (3, [0.0, -1.0]), (4, wide), (5, wide[:-1] + [2.5]), (4, [0.0, -1.0])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, h int, w int")
+    got = {r.vec_id: (r.class_id, r.n_links) for r in metric_join.vector_classes(df, threshold=0.6).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 0)}
 
 
 def test_boundary_replication_prunes(spark):
     """Copies go only where a partner may live: far clusters are not copied."""
     rows = [(i, ([1.0, 0.001 * i] if i < 50 else [0.001 * i, 1.0])) for i in range(100)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = metric_join.near_pairs(df, threshold=0.999, n_pivots=2)
-    assert got.count() == len(brute_pairs(rows, 0.999))
+    got = {r.vec_id: (r.class_id, r.n_links) for r in metric_join.vector_classes(df, threshold=0.999, n_pivots=2).collect()}
+    assert got == brute_classes(rows, 0.999)
