@@ -12,7 +12,7 @@ last stage adds (these then get an underscore). Without labels nothing is reject
 cut, and an empty table stays empty.
 
 What a stage has put into the shared folder for its own result is deleted when the next stage begins, for
-by then the result has been written.
+by then the result has been written. What `run` returns stays readable until the session ends.
 """
 
 from __future__ import annotations
@@ -93,4 +93,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if before:
                 release(spark, before)
             before = path
+    _left.clear()
     return docs
