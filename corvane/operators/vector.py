@@ -110,8 +110,8 @@ def over_fetch(profile: str, n: int) -> int:
 Embedder = Callable[[pd.Series], pd.Series]
 
 
-def hashing_embedder(dim: int = 64) -> Embedder:
-    """A stand-in for an embedding model: signed word hashes, length 1 (deterministic, no model file)."""
+def hashing_embedder(dim: int = 64, kind: str = "float32") -> Embedder:
+    """A stand-in for an embedding model: signed word hashes, length 1, as numbers of `kind` (deterministic, no model file)."""
 
     def embed(texts: pd.Series) -> pd.Series:
         import hashlib
@@ -127,19 +127,19 @@ def hashing_embedder(dim: int = 64) -> Embedder:
                 h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
                 v[h % dim] += 1 if h >> 63 else -1
             n = np.linalg.norm(v)
-            return (v / n if n else v).astype("float32").tolist()
+            return (v / n if n else v).astype(kind).tolist()
 
         return texts.map(one)
 
     return embed
 
 
-def embed_batches(df: DataFrame, embedder: Embedder, *, text: str = "text", out: str = "vector", batch: int = 64, cut: int = 4000, tries: int = 1, with_error: bool = False) -> DataFrame:
-    """KNN-6/7: vectors by Arrow batches; a failing batch is retried, then done text by text, cut to `cut` characters.
+def embed_batches(df: DataFrame, embedder: Embedder, *, text: str = "text", out: str = "vector", batch: int = 64, cut: int = 4000, tries: int = 1, with_error: bool = False, element: T.DataType = T.FloatType()) -> DataFrame:
+    """KNN-6/7: vectors of `element` by Arrow batches; a failing batch is retried, then done text by text, cut to `cut` characters.
 
     What fails alone, or comes back with NaN, has a null vector and (with_error) its message.
     """
-    schema = T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.FloatType()))] + ([T.StructField("error", T.StringType())] if with_error else []))
+    schema = T.StructType([*df.schema, T.StructField(out, T.ArrayType(element))] + ([T.StructField("error", T.StringType())] if with_error else []))
 
     def good(v) -> bool:
         return v is not None and all(x == x for x in v)

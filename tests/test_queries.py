@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +46,33 @@ def test_every_row_is_a_query(spark, monkeypatch):
     monkeypatch.setattr(vector, "CELLS", 50)
     parts = vector.top_k_many(c, q, 5, max_broadcast=13)
     assert {(r.qid, r.id, r["rank"]) for r in parts.collect()} == want
+
+
+def text_with(sums: dict[int, int]) -> str:
+    """A text that, with the instruction before it, has these sums of word signs in the 32 places and 0 in the others."""
+
+    def place(w):
+        h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
+        return h % 32, 1 if h >> 63 else -1
+
+    word = {}
+    for w in map("w{}".format, itertools.count()):
+        word.setdefault(place(w), w)
+        if len(word) == 64:
+            break
+    need = dict.fromkeys(range(32), 0) | sums
+    for b, sign in map(place, re.findall(r"\w+", vector.LONGFORM_INSTRUCTION.lower())):
+        need[b] -= sign
+    return " ".join(w for b, n in need.items() for w in [word[b, 1 if n > 0 else -1]] * abs(n))
+
+
+def test_embedding_rounds_once(spark, tmp_path):
+    # 3 / sqrt(281) = 0.178964996, as a float above the middle of 0.17896 and 0.17897; 23 / 320 = 0.071875 is a middle itself
+    texts = [text_with({0: 3, 1: 16, 2: -4}), text_with({0: 23, 1: 41, 2: -51, 3: 312, 4: 14, 5: -7})]
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+        c.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+        want = {r[0]: r[1] for r in c.execute(SQL["embed_documents"]).fetchall()}
+    got = {r.doc_id: r.vector for r in registry.queries()["embed_documents"](spark, str(tmp_path)).collect()}
+    assert got == want and got[0][:3] == [0.17896, 0.95448, -0.23862] and got[1][0] == 0.07187
