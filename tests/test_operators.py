@@ -278,6 +278,14 @@ def test_pagerank(spark, kernel):
     assert sum(got[4].values()) == pytest.approx(1.0)
 
 
+def test_large_graphs_stay_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_kernel", lambda *a: pytest.fail("the edges were collected"))
+    e = graph.symmetric(spark.range(110_000).select(F.concat(F.lit("a"), "id").alias("src"), F.concat(F.lit("b"), "id").alias("dst")))
+    seeds = spark.createDataFrame([(0, "a7")], "seed_set int, node string")
+    got = {r.note: r.score for r in graph.personalized_pagerank(e, seeds, iterations=1).collect()}
+    assert got == {"a7": pytest.approx(0.15), "b7": pytest.approx(0.85)}
+
+
 # --- long-form chunks
 
 
