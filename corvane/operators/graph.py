@@ -5,7 +5,8 @@ list goes through the driver (so the bound is small), is broadcast, and every se
 one row of a mapped batch, so a thousand queries run in parallel without a shuffle. Beyond
 that, scores are a DataFrame that is joined with the edges in every iteration and staged to
 the shared folder every few iterations, so that neither the plan nor the loss of an executor
-grows with the run.
+grows with the run. These joins are merge joins whatever the sizes: the broadcasts that the
+planner would choose instead pass the driver in every iteration, and grow with the graph.
 """
 
 from __future__ import annotations
@@ -74,13 +75,13 @@ def _kernel(edges: DataFrame, seeds: DataFrame, damping: float, iterations: int)
 
 
 def _joined(edges: DataFrame, seeds: DataFrame, damping: float, iterations: int, every: int) -> DataFrame:
-    out = staged(edges.join(degrees(edges), "src").select("src", "dst", "degree"))
+    out = staged(edges.join(degrees(edges).hint("merge"), "src").select("src", "dst", "degree"))
     distinct = seeds.where(F.col("node") != "").select("seed_set", "node").distinct()
     count = distinct.groupBy("seed_set").agg(F.count(F.lit(1)).alias("n"))
     restart = staged(distinct.join(count, "seed_set").select("seed_set", F.col("node").alias("note"), (1 / F.col("n")).alias("score")))
     score, path = restart, None
     for i in range(iterations):
-        moved = score.join(out, score["note"] == out["src"]).select("seed_set", F.col("dst").alias("note"), (damping * F.col("score") / F.col("degree")).alias("score"))
+        moved = score.hint("merge").join(out, score["note"] == out["src"]).select("seed_set", F.col("dst").alias("note"), (damping * F.col("score") / F.col("degree")).alias("score"))
         back = restart.select("seed_set", "note", (F.col("score") * (1 - damping)).alias("score"))
         score = moved.unionByName(back).groupBy("seed_set", "note").agg(F.sum("score").alias("score"))
         if (i + 1) % every == 0 and i + 1 < iterations:

@@ -286,6 +286,12 @@ def test_large_graphs_stay_off_the_driver(spark, monkeypatch):
     assert got == {"a7": pytest.approx(0.15), "b7": pytest.approx(0.85)}
 
 
+def test_joined_pagerank_broadcasts_nothing(spark):
+    e = graph.symmetric(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
+    df = graph.personalized_pagerank(e, spark.createDataFrame([(0, "a")], "seed_set int, node string"), kernel_edges=0, iterations=2)
+    assert df.count() == 3 and df._jdf.queryExecution().executedPlan().toString().count("Broadcast") == 0
+
+
 # --- long-form chunks
 
 
