@@ -106,9 +106,9 @@ def section_context(hits: DataFrame, sections: DataFrame, *, cut: int = 6000) ->
     return got.groupBy("file", "hit_no").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "text"))), lambda x: x["text"]), "\n\n"), 1, cut).alias("context"))
 
 
-def excerpt(content: Column, section: Column | None = None) -> Column:
-    """TXT-25: the section, else 800 characters of the body behind the frontmatter; 1000 at most, then an ellipsis."""
-    body = F.substring(tx.strip(tx.frontmatter_strip(content)), 1, 800)
+def excerpt(content: Column, section: Column | None = None, *, cut: int = 800) -> Column:
+    """TXT-25: the section, else 800 characters (`cut`) of the body behind the frontmatter; 1000 at most, then an ellipsis."""
+    body = F.substring(tx.strip(tx.frontmatter_strip(content)), 1, cut)
     t = F.coalesce(section, body) if section is not None else body
     return F.when(F.length(t) > 1000, F.concat(F.substring(t, 1, 1000), F.lit("…"))).otherwise(t)
 

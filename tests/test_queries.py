@@ -76,3 +76,21 @@ def test_embedding_rounds_once(spark, tmp_path):
         want = {r[0]: r[1] for r in c.execute(SQL["embed_documents"]).fetchall()}
     got = {r.doc_id: r.vector for r in registry.queries()["embed_documents"](spark, str(tmp_path)).collect()}
     assert got == want and got[0][:3] == [0.17896, 0.95448, -0.23862] and got[1][0] == 0.07187
+
+
+def agrees(spark, folder, table, frame, name):
+    """The query on a table of its own is what its SQL is on it."""
+    frame.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+        want = c.execute(SQL[name]).fetchall()
+    assert sorted(map(tuple, registry.queries()[name](spark, str(folder)).collect()), key=repr) == sorted(want, key=repr)
+
+
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2003\u200b\u2028\u202f\u205f\u3000\ufeff"
+ENDS = [None, "", " ", "---", "x", *BLANKS, *[f"{b}a{b}\n{b}é---{b}" for b in BLANKS], "\n" + "é\U0001f600 " * 300, "w" * 799 + "  ", "v" * 800, " " * 900]
+
+
+@pytest.mark.parametrize("name", ["excerpt"])
+def test_texts_with_blank_ends(spark, tmp_path, name):
+    agrees(spark, tmp_path, "documents", spark.createDataFrame(list(enumerate(ENDS)), "doc_id long, text string"), name)
