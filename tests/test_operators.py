@@ -222,6 +222,12 @@ def budgets(n):
     return out
 
 
+def test_similarity_text_rounds_what_is_stored(spark):
+    values = [i / 10_000 for i in range(-10_000, 10_001, 5)] + [0.125, 0.375, 1234.565]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "s double").select("s", tx.similarity_text(F.col("s")).alias("t"))
+    assert all(r.t == ("?" if r.s is None else f"{r.s:.2f}") for r in df.collect())
+
+
 def test_budgets(spark):
     got = {r.n: r.b for r in spark.range(0, 31).select(F.col("id").cast("int").alias("n"), dedup.budgets(F.col("id").cast("int")).alias("b")).collect()}
     assert got == {n: budgets(n) for n in range(31)} and all(sum(b) <= 12000 for b in got.values())

@@ -87,6 +87,13 @@ def agrees(spark, folder, table, frame, name):
     assert sorted(map(tuple, registry.queries()[name](spark, str(folder)).collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("name", ["render_longform"])
+def test_rendered_similarities(spark, tmp_path, name):
+    # the first vector's similarities to the others are 0.0050, 0.0150, ... 0.2350
+    rows = [(0, [1.0, 0.0], 0)] + [(i + 1, [s, (1 - s * s) ** 0.5], i % 3) for i, s in enumerate((k * 100 + 50) / 10_000 for k in range(24))]
+    agrees(spark, tmp_path, "embeddings", spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), name)
+
+
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2003\u200b\u2028\u202f\u205f\u3000\ufeff"
 ENDS = [None, "", " ", "---", "x", *BLANKS, *[f"{b}a{b}\n{b}é---{b}" for b in BLANKS], "\n" + "é\U0001f600 " * 300, "w" * 799 + "  ", "v" * 800, " " * 900]
 
