@@ -87,7 +87,7 @@ def agrees(spark, folder, table, frame, name):
     assert sorted(map(tuple, registry.queries()[name](spark, str(folder)).collect()), key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", ["render_longform"])
+@pytest.mark.parametrize("name", ["render_longform", "render_results"])
 def test_rendered_similarities(spark, tmp_path, name):
     # the first vector's similarities to the others are 0.0050, 0.0150, ... 0.2350
     rows = [(0, [1.0, 0.0], 0)] + [(i + 1, [s, (1 - s * s) ** 0.5], i % 3) for i, s in enumerate((k * 100 + 50) / 10_000 for k in range(24))]
