@@ -128,10 +128,13 @@ def guard_prompt(prompt: DataFrame, *, most: int = 80_000, most_context: int | N
 
     most_context, if given, is the second limit.
     """
-    est = lambda *parts: sum((tx.token_estimate(F.col(p)) for p in parts), F.lit(0))
     first = F.array_join(F.slice(F.split("context", "\\Q" + sep + "\\E"), 1, keep), sep)
-    long, still = est("history", "context") > most, est("short_history", "context") > (most if most_context is None else most_context)
-    return prompt.select("*", F.when(long, F.col("short_history")).otherwise(F.col("history")).alias("used_history"), F.when(long & still, first).otherwise(F.col("context")).alias("used_context"))
+    parts = [f"{p}__" for p in ("history", "short_history", "context")]
+    sized = prompt.select("*", *[tx.token_estimate(F.col(p.removesuffix("__"))).alias(p) for p in parts])  # each text is scanned once
+    history, short, context = map(F.col, parts)
+    long, still = history + context > most, short + context > (most if most_context is None else most_context)
+    used = sized.withColumns({"used_history": F.when(long, F.col("short_history")).otherwise(F.col("history")), "used_context": F.when(long & still, first).otherwise(F.col("context"))})
+    return used.drop(*parts)
 
 
 def usage(reply: Column) -> Column:

@@ -228,6 +228,21 @@ def test_similarity_text_rounds_what_is_stored(spark):
     assert all(r.t == ("?" if r.s is None else f"{r.s:.2f}") for r in df.collect())
 
 
+def test_token_estimate_counts_words_once(spark):
+    blanks = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
+    texts = ["", " ", "  ", "a", " a ", "a  b", " \n a\t\tb \u3000c\n", "漢字 é\x1fb", "\u200b", *[f"{b}a{b}{b}b {b}c{b} d{b}" for b in blanks]]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", tx.word_count(F.col("t")).alias("n"), tx.token_estimate(F.col("t")).alias("e"))
+    for r in df.collect():
+        n = None if r.t is None else len([x for x in re.split(f"[{blanks}]+", r.t) if x])
+        assert (r.n, r.e) == (n, None if n is None else int(1.5 * len(re.findall("[\u4e00-\u9fff]", r.t)) + n / 4))
+
+
+def test_guard_scans_each_text_once(spark):
+    p = spark.range(9).select(*[F.concat(F.lit(c), "id").alias(c) for c in ("history", "short_history", "context")])
+    plan = context.guard_prompt(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[\\x{4E00}-") == 3
+
+
 def test_budgets(spark):
     got = {r.n: r.b for r in spark.range(0, 31).select(F.col("id").cast("int").alias("n"), dedup.budgets(F.col("id").cast("int")).alias("b")).collect()}
     assert got == {n: budgets(n) for n in range(31)} and all(sum(b) <= 12000 for b in got.values())
