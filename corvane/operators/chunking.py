@@ -8,11 +8,12 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.operators.batches import slices
 
 PARENT_MAX, PARENT_MIN, PACK, CHILD, OVERLAP, CHILD_MIN_CHARS, TABLE_MAX, LEAST = 1800, 100, 1024, 512, 75, 200, 3000, 20
 Counter = Callable[[str], int]
@@ -318,39 +319,40 @@ _PARENT = "parent_id string, text string, file string, book string, chapter stri
 _CHILDREN = "id string, text string, body string, parent_id string, file string, book string, chapter string, section_path string, section_path_raw string, page_start int, page_end int, chunk_kind string, chunk_idx int, n_siblings int, token_count int, heading_origin string, mtime double"
 
 
-def _rows(schema: str, rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+
+def _by_rows(df: DataFrame, column: str, rows_of: Callable[[dict, Counter], list[dict]], schema: str, count: Counter) -> DataFrame:
+    """rows_of(row, counter) of every row; a worker holds a slice of a batch (bounded by the bytes of `column`) and its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = lru_cache(maxsize=256)(count)  # a section is weighed several times by the rules, then not again
+        for part in slices(batches, column):
+            yield pa.RecordBatch.from_pylist([r for row in part.to_pylist() for r in rows_of(row, counted)], schema=_arrow(schema))
+
+    return df.mapInArrow(run, schema)
 
 
 def longform_parents(files: DataFrame, count: Counter = count_tokens) -> DataFrame:
     """TXT-6..13 over files (file, content, mtime): a map, as every file is a row; no shuffle."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counted = lru_cache(maxsize=4096)(count)  # a section is weighed several times by the rules
-        for f in frames:
-            out = []
-            for file, content, mtime in zip(f["file"], f["content"], f["mtime"], strict=True):
-                parts = file.split("/")
-                book = parts[0] if len(parts) > 1 else "misc"
-                stem = re.sub(r"\.md$", "", parts[-1]).replace("_", " ")
-                out += [p | {"mtime": mtime} for p in parents_of(content or "", file=file, book=book, chapter=stem, count=counted)]
-            yield _rows(_PARENT, out)
-
-    df = files.select("file", "content", F.col("mtime").cast("double").alias("mtime")).mapInPandas(run, _PARENT)
+    def rows_of(row: dict, counted: Counter) -> list[dict]:
+        parts = row["file"].split("/")
+        book = parts[0] if len(parts) > 1 else "misc"
+        stem = re.sub(r"\.md$", "", parts[-1]).replace("_", " ")
+        return [p | {"mtime": row["mtime"]} for p in parents_of(row["content"] or "", file=row["file"], book=book, chapter=stem, count=counted)]
+
+    df = _by_rows(files.select("file", "content", F.col("mtime").cast("double").alias("mtime")), "content", rows_of, _PARENT, count)
     return df.withColumn("figure_ids", tx.figure_ids(F.col("text"))).withColumn("has_figure_ref", F.size("figure_ids") > 0)
 
 
 def longform_children(parents: DataFrame, count: Counter = count_tokens) -> DataFrame:
     """TXT-14..20 over parents; a map without a shuffle."""
     need = [c.split()[0] for c in _PARENT.split(", ") if c.split()[0] != "token_count"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counted = lru_cache(maxsize=4096)(count)
-        for f in frames:
-            out = []
-            for p in f.to_dict("records"):
-                out += [c | {"mtime": p["mtime"]} for c in children_of(p, counted)]
-            yield _rows(_CHILDREN, out)
-
-    df = parents.select(*need).mapInPandas(run, _CHILDREN)
+    rows_of = lambda p, counted: [c | {"mtime": p["mtime"]} for c in children_of(p, counted)]
+    df = _by_rows(parents.select(*need), "text", rows_of, _CHILDREN, count)
     return df.withColumn("figure_ids", tx.figure_ids(F.col("body"))).withColumn("has_figure_ref", F.size("figure_ids") > 0).drop("body")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions import vocabulary
-from corvane.operators import chunking, context, dedup, entities, graph, scoring, vector
+from corvane.operators import batches, chunking, context, dedup, entities, graph, scoring, vector
 from corvane.sources import markdown, snapshots
 
 
@@ -316,6 +316,15 @@ def test_joined_pagerank_broadcasts_nothing(spark):
 # --- long-form chunks
 
 
+def test_slices():
+    import pyarrow as pa
+
+    texts = ["a" * 7, None, "é" * 2, "", "b" * 30, "c", None, "d" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["i", "t"])
+    parts = [p.column(1).to_pylist() for p in batches.slices([batch.slice(0, 5), batch.slice(5)], "t", 11)]
+    assert parts == [texts[:4], texts[4:5], texts[5:]]
+
+
 def test_longform_rules():
     para = lambda n, w="w": " ".join([w] * n)
     build = lambda t: chunking.parents_of(t, file="B/c_1.md", book="B", chapter="c 1")
