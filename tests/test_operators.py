@@ -325,6 +325,16 @@ def test_slices():
     assert parts == [texts[:4], texts[4:5], texts[5:]]
 
 
+def test_extractors_get_slices(spark):
+    n = spark.range(3000).coalesce(1).select(F.concat(F.lit("B/f"), "id", F.lit(".md")).alias("note"), F.repeat(F.lit("ab "), 1400).alias("content"))
+
+    def extractor(s):
+        assert sum(map(len, s)) <= 1 << 20
+        return s.map(lambda t: [t[:2] + "c"])
+
+    assert entities.extract_entities(n, extractor).count() == 3000
+
+
 def test_longform_rules():
     para = lambda n, w="w": " ".join([w] * n)
     build = lambda t: chunking.parents_of(t, file="B/c_1.md", book="B", chapter="c 1")
